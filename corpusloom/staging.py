@@ -35,18 +35,25 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", max_rows: int = 100_000, salts: int = 32) -> DataFrame:
-    """Join ``rows`` with a table that has one row per key, where keys may be hot.
+def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, weight: str | None = None, max_rows: int = 50_000, salts: int = 32) -> DataFrame:
+    """Inner join with a table of one row per key, where a key may hold a third of ``rows``.
 
     Up to ``max_rows`` rows of ``lookup`` are broadcast, after they were counted. Beyond
-    that each lookup row is repeated once per salt and the rows spread over the salts, so
-    that a key holding a third of all rows still goes to ``salts`` tasks.
+    that, with ``weight`` (the number of ``rows`` of each key), the ``max_rows`` heaviest
+    keys are broadcast and the rest joined by shuffle: of those none holds more than one
+    row in ``max_rows``. Without ``weight`` each lookup row is repeated once per salt and
+    the rows are spread over the salts.
     """
     if fits(lookup, max_rows):
-        return rows.join(F.broadcast(lookup), key, how)
+        return rows.join(F.broadcast(lookup), key)
+    if weight:
+        heavy = stage(lookup.orderBy(F.desc(weight), key).limit(max_rows), "heavy")
+        light = lookup.join(F.broadcast(heavy.select(key)), key, "left_anti")
+        rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+        return rows.join(F.broadcast(heavy), key).unionByName(rest.join(light, key))
     salted = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread: Column = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts)).cast("int")
-    return rows.withColumn("_salt", spread).join(salted, [key, "_salt"], how).drop("_salt")
+    return rows.withColumn("_salt", spread).join(salted, [key, "_salt"]).drop("_salt")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
