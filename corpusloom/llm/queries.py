@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.abuse import abuse_scores
 from corpusloom.llm.cutoff import cutoffs, kept_records, pair_spelling, scored_records
 from corpusloom.llm.duplicates import formatting_duplicates
 from corpusloom.llm.leaks import leaks
 from corpusloom.llm.overlap import split_overlap
+from corpusloom.llm.packing import bins, pack, token_counts
 from corpusloom.staging import stage, table
 
 SCORE_RANGE = (1.0, 5.0)
 RETENTION_STAGE = "After quality selection"
+MAX_WINDOWS = 100
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +61,29 @@ def p5_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("split", F.substring("id", 1, 5).alias("language_pair")).agg(F.count("*").alias("overlapping"), F.count_if("exact").alias("exact"))
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = table(spark, sf_dir, "pack_windows").select("window_name", "capacity_tokens").limit(MAX_WINDOWS + 1).collect()
+    if len(windows) > MAX_WINDOWS:
+        raise ValueError(f"more than {MAX_WINDOWS} window sizes")
+    return pack(token_counts(table(spark, sf_dir, "documents")), sorted((w[0], w[1]) for w in windows))
+
+
+def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir)
+
+
+def p6_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bins(_packed(spark, sf_dir))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per window size: bins, pieces, texts that were cut, and the filled share of all bins."""
+    packed = stage(_packed(spark, sf_dir), "packed")
+    cut = packed.groupBy("window_name").agg(F.count("bin_id").alias("pieces"), F.count_if(F.col("piece_no") == 1).alias("cut_texts"))
+    full = bins(packed).groupBy("window_name").agg(F.count("*").alias("bins"), F.sum("used_tokens").alias("tokens"), F.round(F.avg("fill"), 6).alias("fill"))
+    return cut.join(full, "window_name")
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "evaluation_manifest"))
 
@@ -71,7 +97,29 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("sample_id").agg(F.count("*").alias("documents"), F.count_if("in_question").alias("question_in"), F.count_if("in_answer").alias("answer_in"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_cutoffs, p5_found, p5_by_split, p7_found, p7_items)}
+def _abuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"), keep=("source",))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _abuse(spark, sf_dir).filter("abusive").select("doc_id")
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _abuse(spark, sf_dir).select("doc_id", "score", "abusive")
+
+
+def p8_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _abuse(spark, sf_dir).groupBy("source").agg(F.count("*").alias("documents"), F.count_if("abusive").alias("abusive"), F.round(F.avg(F.col("abusive").cast("double")), 6).alias("rate"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_records, p2_found, p2_cutoffs, p5_found, p5_by_split, p6_packing, p6_bins, p6_fill,
+        p7_found, p7_items, p8_found, p8_scores, p8_by_source,
+    )
+}
 
 _P1 = r"""
 WITH r AS (
