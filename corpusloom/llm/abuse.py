@@ -7,11 +7,12 @@ A document's score is that of its highest window, and the threshold is calibrate
 labelled documents that the dictionaries compared have not seen.
 
 Labels say only that a document holds such a passage, and some are wrong. The passages
-for the abusive dictionary are the windows of flagged documents in which several
-successive word pairs are far more frequent in flagged documents than in others; the
-ordinary dictionary takes the windows of other documents that have no such pair. Words
-are compared after disguises are undone: case, zero-width characters, digits and signs
-for letters, letters set apart, letters repeated.
+for the abusive dictionary are cut from windows of flagged documents with several word
+pairs that are far more frequent in flagged documents than in others: from the first to
+the last such pair. The ordinary dictionary takes the windows of other documents that
+have no such pair; those among them that a first pair of dictionaries finds abusive are
+given more weight in a second training. Words are compared after disguises are undone:
+case, zero-width characters, digits and signs for letters, letters set apart or repeated.
 
 The fit takes at most ``MAX_LABELLED`` labelled documents, chosen by a hash of their id,
 of at most ``MAX_LABELLED_CHARS`` characters each; every document is scored, and every
@@ -25,6 +26,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,15 +36,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LABELLED = 6_000
+MAX_LABELLED = 4_000
 MAX_LABELLED_CHARS = 200_000
 CALIBRATION_SHARE = 4
 WINDOW, STEP = 10, 5
-DICTIONARY_BYTES = 110 * 1024
-MAX_SAMPLES = 80_000
+DICTIONARY_BYTES = 256 * 1024
+MAX_SAMPLES = 120_000
 LEVEL = 3
 #: Log odds of a word pair in a passage that serves as an example, and above which a window isn't ordinary.
 TELLING, SUSPECT = 2.5, 1.5
+#: Bytes from which an ordinary window counts as hard, and how often it is then repeated.
+HARD, REPEATS = 4, 10
 
 ZERO_WIDTH = re.compile("[­​-‏⁠﻿]")
 MIXED = re.compile(r"[^\W\d_][0-9@$]|[0-9@$][^\W\d_]")
@@ -73,15 +77,22 @@ def windows(words: list[str]) -> list[str]:
 
 
 def _pair_odds(documents: list[list[str]], labels: list[int]) -> dict[tuple[str, str], float]:
-    seen, n = (Counter(), Counter()), Counter(labels)
+    """Log odds of the word pairs that at least two flagged documents have."""
+    flagged, others = Counter(), Counter()
     for words, label in zip(documents, labels):
-        seen[label].update(set(zip(words, words[1:])))
-    return {pair: math.log((k + 0.3) / (n[1] + 0.6)) - math.log((seen[0][pair] + 0.3) / (n[0] + 0.6)) for pair, k in seen[1].items() if k > 1}
+        if label:
+            flagged.update(set(zip(words, words[1:])))
+    flagged = {pair: k for pair, k in flagged.items() if k > 1}
+    for words, label in zip(documents, labels):
+        if not label:
+            others.update(flagged.keys() & set(zip(words, words[1:])))
+    n1 = sum(labels)
+    n0 = len(labels) - n1
+    return {pair: math.log((k + 0.3) / (n1 + 0.6)) - math.log((others[pair] + 0.3) / (n0 + 0.6)) for pair, k in flagged.items()}
 
 
 def _dictionary(samples: list[str]) -> bytes:
-    samples = samples[:MAX_SAMPLES]
-    encoded = [s.encode() for s in samples]
+    encoded = [s.encode() for s in samples[:MAX_SAMPLES]]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, encoded).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on
@@ -119,17 +130,21 @@ def _train(documents: list[list[str]], labels: list[int]) -> Model | None:
     for words, label in zip(documents, labels):
         for window in windows(words):
             w = window.split()
-            top = sorted((odds.get(p, -9.0) for p in zip(w, w[1:])), reverse=True)[:3]
-            if label and len(top) == 3 and top[2] > TELLING:
-                abusive.append(window)
-            elif not label and (not top or top[0] < SUSPECT):
+            each = [odds.get(p, -9.0) for p in zip(w, w[1:])]
+            if not label and max(each, default=-9.0) < SUSPECT:
                 ordinary.append(window)
+            elif label and sum(x > TELLING for x in each) > 2:
+                at = [i for i, x in enumerate(each) if x > SUSPECT]
+                abusive.append(" ".join(w[at[0] : at[-1] + 2]))
     if not abusive or not ordinary:
         return None
     shuffled = random.Random(7)
     shuffled.shuffle(abusive)
     shuffled.shuffle(ordinary)
-    return Model(_dictionary(abusive), _dictionary(ordinary))
+    first = Model(_dictionary(abusive), _dictionary(ordinary))
+    a, o = (c.compress for c in first.compressors())
+    hard = [x for x in ordinary for b in [x.encode()] if len(o(b)) - len(a(b)) >= HARD]
+    return Model(first.abusive, _dictionary(hard * REPEATS + ordinary)) if hard else first
 
 
 def _threshold(scores: list[tuple[int, int]]) -> float:
@@ -146,7 +161,7 @@ def _threshold(scores: list[tuple[int, int]]) -> float:
 
 def fit(examples: list[tuple[str, int]]) -> Model | None:
     """A model of (text, label) examples in a fixed order, or None if they are too few."""
-    words = [plain_words(t) for t, _ in examples]
+    words = [[sys.intern(w) for w in plain_words(t)] for t, _ in examples]
     labels = [y for _, y in examples]
     held = range(0, len(examples), CALIBRATION_SHARE)
     rest = [k for k in range(len(examples)) if k % CALIBRATION_SHARE]
