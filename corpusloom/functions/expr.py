@@ -31,7 +31,7 @@ LAST_NUMBER = r"[-+]?\d+(?:\.\d+)?"
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def truthy(c: Column, words: tuple[str, ...] = TRUE_WORDS) -> Column:
@@ -64,7 +64,7 @@ def speech_encoder(c: Column) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"\s+", " "))
+    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def replace_all(c: Column, patterns: dict[str, str]) -> Column:
