@@ -123,7 +123,7 @@ QUERIES = {
 
 _P1 = r"""
 WITH r AS (
-  SELECT line_no, regexp_replace(lower(src_text), '[^\pL\pN]+', '', 'g') AS a, regexp_replace(lower(tgt_text), '[^\pL\pN]+', '', 'g') AS b
+  SELECT line_no, regexp_replace(replace(lower(src_text), 'ß', 'ss'), '[^\pL\pN]+', '', 'g') AS a, regexp_replace(replace(lower(tgt_text), 'ß', 'ss'), '[^\pL\pN]+', '', 'g') AS b
   FROM stage_00_aligned_pair_manifest WHERE regexp_matches(src_text, '[\pL\pN]') AND regexp_matches(tgt_text, '[\pL\pN]')),
 g AS (SELECT line_no, min(line_no) OVER (PARTITION BY least(a, b), greatest(a, b)) AS keep FROM r)
 """

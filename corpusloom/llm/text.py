@@ -17,8 +17,8 @@ def words(text: str | None) -> list[str]:
 
 
 def squeezed(text: Column) -> Column:
-    """The sequence of letters and digits without regard to case."""
-    return F.regexp_replace(F.lower(F.upper(text)), NOT_LETTER_OR_DIGIT, "")
+    """The sequence of letters and digits without regard to case; the capitals of ß are SS."""
+    return F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), NOT_LETTER_OR_DIGIT, "")
 
 
 def has_words(text: Column) -> Column:
