@@ -146,7 +146,9 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     """(doc_id, item_id, in_question, in_answer): the documents that hold a run of an item."""
     spark = documents.sparkSession
     wanted = items.filter(F.col(item_id).isNotNull()).select(item_id, question, answer).distinct()
-    slices = max(1, -(-wanted.count() // (max_items // 2)))
+    n = wanted.count()
+    # Slices by hash differ in size; one that is too large after all is cut below.
+    slices = 1 if n <= max_items else -(-n * 5 // (max_items * 4))
     kind = documents.schema[doc_id].dataType.simpleString()
     schema = f"`{doc_id}` {kind}, `{item_id}` string, in_question boolean, in_answer boolean"
     found = None
