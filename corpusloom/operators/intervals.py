@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.staging import stage
+
 #: The field names under which segment objects carry their three values.
 START_NAMES = ("start", "begin", "start_time")
 END_NAMES = ("end", "end_time")
@@ -130,7 +132,8 @@ def periods_and_gaps(intervals: DataFrame, entity: list[str], bucket_ms: int = B
         .groupBy(*keys, "start_ms")
         .agg(F.max("end_ms").alias("end_ms"))
     )
-    ranked = longest.groupBy(*keys).agg(F.sort_array(F.collect_list("start_ms")).alias("_starts"), F.sort_array(F.collect_list("end_ms")).alias("_ends"))
+    # Staged: what follows reads it three times, and would parse the logs as often.
+    ranked = stage(longest.groupBy(*keys).agg(F.sort_array(F.collect_list("start_ms")).alias("_starts"), F.sort_array(F.collect_list("end_ms")).alias("_ends")), "ranked")
     timeline = Window.partitionBy(*entity).orderBy("_bucket")
 
     def joined(rows: DataFrame, summary: DataFrame) -> DataFrame:
@@ -147,7 +150,7 @@ def periods_and_gaps(intervals: DataFrame, entity: list[str], bucket_ms: int = B
         ),
         lambda b: b["before"].isNull() | (b["s"] > b["before"]),
     )
-    cut = joined(ranked, carried).select(*keys, bounds.alias("_bounds"), F.element_at("_ends", -1).alias("_last"))
+    cut = stage(joined(ranked, carried).select(*keys, bounds.alias("_bounds"), F.element_at("_ends", -1).alias("_last")), "cut")
     onward = cut.select(
         *keys,
         F.coalesce(
