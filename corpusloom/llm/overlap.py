@@ -47,33 +47,53 @@ def prefix_length(n: int, percent: int) -> int:
     return min(n, n - math.ceil(n * percent / 100 - 1e-9) + SEEN)
 
 
+def keyed(found: list[str], ranks: dict[str, int]) -> list[tuple[int, int, str]]:
+    """The occurrences of sorted words as (rank, occurrence, word)."""
+    out, last, k = [], None, 0
+    for w in found:
+        k = k + 1 if w == last else 1
+        last = w
+        out.append((ranks.get(w, -1), k, w))
+    return out
+
+
+def _digest(found: list[str]) -> bytes:
+    return md5(" ".join(found).encode()).digest()
+
+
 def _bags(rows: DataFrame, rank: dict[str, int], percent: int) -> DataFrame:
-    """(id, split, bag, n, prefix, tokens) of (id, split, src, tgt)."""
+    """(id, split, bag, n, prefix) of (id, split, src, tgt)."""
     shared = rows.sparkSession.sparkContext.broadcast(rank)
 
     def bag_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
         for batch in batches:
-            bags, sizes, prefixes, tokens = [], [], [], []
+            bags, sizes, prefixes = [], [], []
             for src, tgt in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 found = sorted([*words(src), *words(tgt)])
-                keyed, last, k = [], None, 0
-                for w in found:
-                    k = k + 1 if w == last else 1
-                    last = w
-                    keyed.append((ranks.get(w, -1), k, token(w, k)))
-                bags.append(md5(" ".join(found).encode()).digest())
+                bags.append(_digest(found))
                 sizes.append(len(found))
-                tokens.append([t for _, _, t in keyed])
-                # Later occurrences are rarer than the first.
-                keyed.sort(key=lambda x: (x[0], -x[1], x[2]))
-                prefixes.append([t for _, _, t in keyed[: prefix_length(len(found), percent)]])
+                # Later occurrences are rarer than the first; rare words have the rank -1.
+                ordered = sorted(keyed(found, ranks), key=lambda x: (x[0], -x[1], x[2]))
+                prefixes.append([token(w, k) for _, k, w in ordered[: prefix_length(len(found), percent)]])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(bags, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(tokens, pa.list_(pa.int64()))],
-                ["id", "split", "bag", "n", "prefix", "tokens"],
+                [batch.column(0), batch.column(1), pa.array(bags, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["id", "split", "bag", "n", "prefix"],
             )
 
-    return rows.mapInArrow(bag_up, "id string, split string, bag binary, n int, prefix array<bigint>, tokens array<bigint>")
+    return rows.mapInArrow(bag_up, "id string, split string, bag binary, n int, prefix array<bigint>")
+
+
+def _tokens(rows: DataFrame) -> DataFrame:
+    """(bag, tokens) of (src, tgt)."""
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted([*words(a), *words(b)]) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            sets = [[token(w, k) for _, k, w in keyed(f, {})] for f in found]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_digest, found), pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["bag", "tokens"])
+
+    return rows.select("src", "tgt").mapInArrow(tokens, "bag binary, tokens array<bigint>")
 
 
 @dataclass
@@ -115,32 +135,36 @@ def split_overlap(rows: DataFrame, id_col: str = "sample_id", src: str = "src_te
         .collect()
     )
     rank = {r["word"]: k for k, r in enumerate(reversed(counts))}
-    bags = stage(_bags(taken, rank, percent), "bags")
+    bags = stage(_bags(taken, rank, percent).withColumn("row", F.monotonically_increasing_id()), "bags")
     members = bags.select("id", "split", "bag").distinct()
 
-    classes = bags.withColumn("e", F.col("split") != TRAINING).groupBy("bag").agg(F.max("e").alias("in_eval"), F.max(~F.col("e")).alias("in_train"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    classes = stage(classes, "classes")
+    # A class of equal bags goes by the number of its first row, which is short in a shuffle.
+    evaluated = F.col("split") != TRAINING
+    groups = bags.groupBy("bag").agg(F.min("row").alias("row"), F.max(evaluated).alias("in_eval"), F.max(~evaluated).alias("in_train"))
+    classes = stage(groups.join(bags.drop("bag"), "row").withColumnRenamed("row", "class"), "classes")
     exact = classes.filter("in_eval and in_train").select("bag")
 
     def firsts(side: str, name: str) -> DataFrame:
-        return classes.filter(side).select(F.explode("prefix").alias("token"), F.col("bag").alias(f"{name}_bag"), F.col("n").alias(f"{name}_n"))
+        return classes.filter(side).select(F.explode("prefix").alias("token"), F.col("class").alias(f"{name}_class"), F.col("n").alias(f"{name}_n"))
 
     longer, shorter = F.greatest("eval_n", "train_n"), F.least("eval_n", "train_n")
     candidates = (
         firsts("in_eval", "eval")
         .join(firsts("in_train", "train"), "token")
-        .filter((shorter * 100 >= longer * percent) & (F.col("eval_bag") != F.col("train_bag")))
-        .groupBy("eval_bag", "train_bag")
-        .agg(F.count("*").alias("seen"), F.first(longer).alias("longer"))
+        .filter((shorter * 100 >= longer * percent) & (F.col("eval_class") != F.col("train_class")))
+        .groupBy("eval_class", "train_class", longer.alias("longer"))
+        .agg(F.count("*").alias("seen"))
         .filter(F.col("seen") >= F.when(F.ceil(F.col("longer") * percent / 100) < SEEN, 1).otherwise(SEEN))
         .drop("seen")
     )
     candidates = stage(candidates, "candidates")
-    wanted = candidates.select(F.col("eval_bag").alias("bag")).union(candidates.select("train_bag")).distinct()
-    whole = bags.select("bag", "tokens").join(wanted, "bag", "left_semi").groupBy("bag").agg(F.first("tokens").alias("tokens"))
+    wanted = candidates.select(F.col("eval_class").alias("class")).union(candidates.select("train_class")).distinct().join(classes.select("class", "bag", "id", "split"), "class")
+    wanted = stage(wanted, "wanted")
+    whole = _tokens(taken.join(wanted.select("id", "split"), ["id", "split"], "left_semi")).join(wanted.select("class", "bag"), "bag").groupBy("class", "bag").agg(F.first("tokens").alias("tokens"))
+    whole = stage(whole, "whole")
     near = (
-        candidates.join(whole.toDF("eval_bag", "a"), "eval_bag")
-        .join(whole.toDF("train_bag", "b"), "train_bag")
+        candidates.join(whole.toDF("eval_class", "eval_bag", "a"), "eval_class")
+        .join(whole.toDF("train_class", "train_bag", "b"), "train_class")
         .withColumn("common", F.size(F.array_intersect("a", "b")))
         .filter(F.col("common") * 100 >= F.col("longer") * percent)
         .select("eval_bag", "train_bag", "common", "longer")
