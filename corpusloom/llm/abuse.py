@@ -36,10 +36,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LABELLED = 4_000
-MAX_LABELLED_CHARS = 200_000
+MAX_LABELLED = 6_000
+MAX_LABELLED_CHARS = 20_000
 CALIBRATION_SHARE = 4
-WINDOW, STEP = 10, 5
+WINDOW, STEP = 10, 4
 DICTIONARY_BYTES = 256 * 1024
 MAX_SAMPLES = 120_000
 LEVEL = 3
