@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -34,3 +36,20 @@ def session(cores: int | None = None, app: str = "corpusloom", **conf: str) -> S
 def shared_folder(spark: SparkSession) -> str | None:
     """The folder all executors share, as the session names it."""
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once per application, wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    if root.is_dir():
+        with tempfile.NamedTemporaryFile(prefix="corpusloom-", suffix=".zip", delete=False) as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        spark.sparkContext.addPyFile(f.name)
+    _shipped.add(app)
