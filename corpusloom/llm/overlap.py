@@ -3,10 +3,11 @@
 Records are canonicalised (case, punctuation and white space gone) to their bag of words,
 and the bag is hashed: evaluation hashes joined with training hashes give the exact
 overlaps. Almost equal bags are found between distinct bags only, one representative per
-class of equal records, and without loss: two bags with at least ``share`` of the longer
-one's words in common must share two of the first words of each, when the words of all
-bags are put in one fixed order, rare words first (prefix filter). The pairs that pass are
-checked on their whole bags.
+class of equal records, and without loss: two bags with enough words in common share one
+of the first words of each, when the words of all bags are put in one fixed order, rare
+words first (prefix filter); and their 128-bit sketches differ in no more places than the
+bags may (each word flips one bit). The few pairs that pass both are checked on their
+whole bags.
 
 The order of words uses the ``ORDERED_WORDS`` most frequent words of all rows, a bounded
 broadcast; all others count as rare and are ordered by their hash. Any order is lossless;
@@ -34,8 +35,7 @@ from corpusloom.staging import stage
 ORDERED_WORDS = 20_000
 PERCENT = 85
 EVALUATION, TRAINING = ("dev", "test"), "train"
-#: Words in common that the prefixes of two similar bags must show.
-SEEN = 2
+SKETCH_BITS = 128
 
 
 def token(word: str, k: int) -> int:
@@ -44,7 +44,15 @@ def token(word: str, k: int) -> int:
 
 
 def prefix_length(n: int, percent: int) -> int:
-    return min(n, n - math.ceil(n * percent / 100 - 1e-9) + SEEN)
+    return n - math.ceil(n * percent / 100 - 1e-9) + 1
+
+
+def sketch(tokens: list[int]) -> tuple[int, int]:
+    """Two signed 64-bit halves in which each token flips one bit."""
+    bits = 0
+    for t in tokens:
+        bits ^= 1 << (t % SKETCH_BITS)
+    return (bits >> 64) - (1 << 63), (bits & ((1 << 64) - 1)) - (1 << 63)
 
 
 def keyed(found: list[str], ranks: dict[str, int]) -> list[tuple[int, int, str]]:
@@ -62,26 +70,30 @@ def _digest(found: list[str]) -> bytes:
 
 
 def _bags(rows: DataFrame, rank: dict[str, int], percent: int) -> DataFrame:
-    """(id, split, bag, n, prefix) of (id, split, src, tgt)."""
+    """(id, split, bag, n, prefix, high, low) of (id, split, src, tgt)."""
     shared = rows.sparkSession.sparkContext.broadcast(rank)
 
     def bag_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
         for batch in batches:
-            bags, sizes, prefixes = [], [], []
+            bags, sizes, prefixes, high, low = [], [], [], [], []
             for src, tgt in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 found = sorted([*words(src), *words(tgt)])
                 bags.append(_digest(found))
                 sizes.append(len(found))
                 # Later occurrences are rarer than the first; rare words have the rank -1.
                 ordered = sorted(keyed(found, ranks), key=lambda x: (x[0], -x[1], x[2]))
-                prefixes.append([token(w, k) for _, k, w in ordered[: prefix_length(len(found), percent)]])
+                tokens = [token(w, k) for _, k, w in ordered]
+                prefixes.append(tokens[: prefix_length(len(found), percent)])
+                halves = sketch(tokens)
+                high.append(halves[0])
+                low.append(halves[1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(bags, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["id", "split", "bag", "n", "prefix"],
+                [batch.column(0), batch.column(1), pa.array(bags, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(high, pa.int64()), pa.array(low, pa.int64())],
+                ["id", "split", "bag", "n", "prefix", "high", "low"],
             )
 
-    return rows.mapInArrow(bag_up, "id string, split string, bag binary, n int, prefix array<bigint>")
+    return rows.mapInArrow(bag_up, "id string, split string, bag binary, n int, prefix array<bigint>, high bigint, low bigint")
 
 
 def _tokens(rows: DataFrame) -> DataFrame:
@@ -145,17 +157,17 @@ def split_overlap(rows: DataFrame, id_col: str = "sample_id", src: str = "src_te
     exact = classes.filter("in_eval and in_train").select("bag")
 
     def firsts(side: str, name: str) -> DataFrame:
-        return classes.filter(side).select(F.explode("prefix").alias("token"), F.col("class").alias(f"{name}_class"), F.col("n").alias(f"{name}_n"))
+        return classes.filter(side).select(F.explode("prefix").alias("token"), *[F.col(c).alias(f"{name}_{c}") for c in ("class", "n", "high", "low")])
 
     longer, shorter = F.greatest("eval_n", "train_n"), F.least("eval_n", "train_n")
+    least = F.ceil(longer * percent / 100)
+    differing = F.bit_count(F.col("eval_high").bitwiseXOR(F.col("train_high"))) + F.bit_count(F.col("eval_low").bitwiseXOR(F.col("train_low")))
     candidates = (
         firsts("in_eval", "eval")
         .join(firsts("in_train", "train"), "token")
-        .filter((shorter * 100 >= longer * percent) & (F.col("eval_class") != F.col("train_class")))
-        .groupBy("eval_class", "train_class", longer.alias("longer"))
-        .agg(F.count("*").alias("seen"))
-        .filter(F.col("seen") >= F.when(F.ceil(F.col("longer") * percent / 100) < SEEN, 1).otherwise(SEEN))
-        .drop("seen")
+        .filter((shorter * 100 >= longer * percent) & (F.col("eval_class") != F.col("train_class")) & (differing <= F.col("eval_n") + F.col("train_n") - 2 * least))
+        .select("eval_class", "train_class", longer.alias("longer"))
+        .distinct()
     )
     candidates = stage(candidates, "candidates")
     wanted = candidates.select(F.col("eval_class").alias("class")).union(candidates.select("train_class")).distinct().join(classes.select("class", "bag", "id", "split"), "class")
