@@ -49,25 +49,53 @@ TELLING, SUSPECT = 2.5, 1.5
 HARD, REPEATS = 4, 10
 
 ZERO_WIDTH = re.compile("[­​-‏⁠﻿]")
-MIXED = re.compile(r"[^\W\d_][0-9@$]|[0-9@$][^\W\d_]")
-MIXED_WORD = re.compile(r"[\w@$]+")
-APART = re.compile(r"(?:\b[^\W\d_][ .\-_*]{1,3}){3}")
-APART_WORD = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]{1,3}){3,}[^\W\d_](?![^\W_])")
-BETWEEN = re.compile(r"[ .\-_*]+")
-REPEATED = re.compile(r"([^\W\d_])\1{2,}")
+TOKEN = re.compile(r"[\w@$]+")
 LETTERS = re.compile(r"[^\W\d_]+")
+REPEATED = re.compile(r"([^\W\d_])\1{2,}")
+#: Single letters in a row that are taken for one word.
+APART = 4
+#: Tokens whose words a worker remembers.
+REMEMBERED = 300_000
 #: Signs that stand for letters.
 STANDS_FOR = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 
 
+_known: dict[str, list[str]] = {}
+
+
+def _token_words(token: str) -> list[str]:
+    """The words of a run of letters, digits, signs and underscores."""
+    letters = LETTERS.findall(token)
+    if letters and letters[0] != token:
+        parts = token.split("_")
+        if len(parts) >= APART and all(len(p) < 2 for p in parts):
+            token = "".join(parts)
+        letters = [w for p in token.split("_") for w in LETTERS.findall(p.translate(STANDS_FOR) if LETTERS.search(p) else p)]
+    return [REPEATED.sub(r"\1", w) for w in letters]
+
+
 def plain_words(text: str) -> list[str]:
     """Lower-case words of letters, with disguises undone; numbers are left out."""
-    text = ZERO_WIDTH.sub("", text.lower())
-    if MIXED.search(text):
-        text = MIXED_WORD.sub(lambda m: m[0].translate(STANDS_FOR) if MIXED.search(m[0]) else m[0], text)
-    if APART.search(text):
-        text = APART_WORD.sub(lambda m: BETWEEN.sub("", m[0]), text)
-    return LETTERS.findall(REPEATED.sub(r"\1", text))
+    if len(_known) > REMEMBERED:
+        _known.clear()
+    text = text.lower()
+    if not text.isascii() and ZERO_WIDTH.search(text):
+        text = ZERO_WIDTH.sub("", text)
+    out, apart = [], 0
+    for token in TOKEN.findall(text):
+        words = _known.get(token)
+        if words is None:
+            words = _known[token] = _token_words(token)
+        if len(token) == 1 and words:
+            apart += 1
+        elif apart:
+            if apart >= APART:
+                out[-apart:] = [REPEATED.sub(r"\1", "".join(out[-apart:]))]
+            apart = 0
+        out += words
+    if apart >= APART:
+        out[-apart:] = [REPEATED.sub(r"\1", "".join(out[-apart:]))]
+    return out
 
 
 def windows(words: list[str]) -> list[str]:
