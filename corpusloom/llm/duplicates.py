@@ -40,7 +40,8 @@ class Duplicates:
 
     def copies(self) -> DataFrame:
         """(keep_line_no, copy_line_no): every further row of a record."""
-        repeated = self.groups.filter("copies > 1").select("canonical", "keep", F.col("copies").alias("group_copies"))
+        # Staged, as the lookup join counts it before it reads it.
+        repeated = stage(self.groups.filter("copies > 1").select("canonical", "keep", F.col("copies").alias("group_copies")), "repeated")
         kept = stage(lookup_join(self.survivors, repeated, "canonical", weight="group_copies").select("raw", "id", "copies", "keep"), "kept")
         variants = kept.filter("id <> keep").select("keep", "id")
         members = lookup_join(self.rows, kept.filter("copies > 1").select("raw", F.col("id").alias("first"), "keep", "copies"), "raw", weight="copies")
