@@ -188,12 +188,12 @@ def quality_cutoff(spark: SparkSession, sf: str) -> DataFrame:
     return selection.by_cutoff(_records(spark, sf), "score", 3.5)
 
 
-_TOP = _RECORDS + ", t AS (SELECT sample_id, score, row_number() OVER (ORDER BY score DESC NULLS LAST, md5(sample_id), sample_id) <= 500 AS selected FROM r)\n"
+_TOP = _RECORDS + ", t AS (SELECT sample_id, score, row_number() OVER (ORDER BY score DESC NULLS LAST, md5(sample_id), sample_id) <= 100 AS selected FROM r)\n"
 
 
 @C.add(_TOP + "SELECT sample_id, score, selected, CASE WHEN selected THEN '' ELSE 'below_top_n_boundary' END AS drop_reason FROM t")
 def quality_topn(spark: SparkSession, sf: str) -> DataFrame:
-    return selection.top_n(_records(spark, sf), "score", 500, "sample_id")
+    return selection.top_n(_records(spark, sf), "score", 100, "sample_id")
 
 
 @C.add(_TOP + "SELECT min(score) FILTER (selected) AS boundary, count(*) FILTER (selected) AS kept, count(*) FILTER (NOT selected) AS dropped FROM t")
@@ -242,9 +242,9 @@ _HASHED = "row_number() OVER (ORDER BY md5('{seed}:' || {id}), {id}) - 1"
 
 
 @C.add("""WITH r AS (SELECT DISTINCT sample_id FROM train_metadata), n AS (SELECT count(*) AS n FROM r), p AS (SELECT sample_id, row_number() OVER (ORDER BY md5('42:' || sample_id), sample_id) - 1 AS pos FROM r)
- SELECT sample_id, CASE WHEN pos < 50 THEN 'test' WHEN pos < round_even(n * 0.12, 0) THEN 'dev' ELSE 'train' END AS split FROM p, n""")
+ SELECT sample_id, CASE WHEN pos < 10 THEN 'test' WHEN pos < round_even(n * 0.12, 0) THEN 'dev' ELSE 'train' END AS split FROM p, n""")
 def split_exact(spark: SparkSession, sf: str) -> DataFrame:
-    return selection.assign_splits(table(spark, sf, TRAIN).select("sample_id").distinct(), "sample_id", 0.12, 50)
+    return selection.assign_splits(table(spark, sf, TRAIN).select("sample_id").distinct(), "sample_id", 0.12, 10)
 
 
 @C.add("SELECT split, count(*) AS n FROM train_metadata WHERE split IN ('train', 'dev', 'test') GROUP BY split")
@@ -308,8 +308,8 @@ _FUNNEL = f"""WITH m AS ({_FIRST}), l AS ({_LATEST}), sc AS (SELECT sample_id, m
  x AS (SELECT pair, 'raw' AS stage, 0 AS k, src_sec, tgt_sec FROM f UNION ALL SELECT pair, 'language', 1, src_sec, tgt_sec FROM f WHERE lang_ok
    UNION ALL SELECT pair, 'speaker', 2, src_sec, tgt_sec FROM f WHERE lang_ok AND spk_ok UNION ALL SELECT pair, 'quality', 3, src_sec, tgt_sec FROM f WHERE lang_ok AND spk_ok AND q_ok),
  a AS (SELECT pair, stage, k, count(*) AS num_pairs, coalesce(sum(src_sec), 0) AS s, coalesce(sum(tgt_sec), 0) AS t FROM x GROUP BY ALL)
- SELECT pair, stage, k, num_pairs, round(s / 3600, 9) AS source_hours, round(t / 3600, 9) AS target_hours, round((s + t) / 3600, 9) AS total_hours, round(s / num_pairs, 6) AS avg_source_duration_sec,
-   round(t / num_pairs, 6) AS avg_target_duration_sec, round(num_pairs::DOUBLE / lag(num_pairs) OVER (PARTITION BY pair ORDER BY k), 9) AS retention_from_previous_stage FROM a"""
+ SELECT pair, stage, k, num_pairs, round(s / 3600, 9) AS source_hours, round(t / 3600, 9) AS target_hours, round((s + t) / 3600, 9) AS total_hours, round(s / num_pairs, 10) AS avg_source_duration_sec,
+   round(t / num_pairs, 10) AS avg_target_duration_sec, round(num_pairs::DOUBLE / lag(num_pairs) OVER (PARTITION BY pair ORDER BY k), 9) AS retention_from_previous_stage FROM a"""
 
 
 @C.add(_FUNNEL)
@@ -329,7 +329,7 @@ def construction_funnel(spark: SparkSession, sf: str) -> DataFrame:
     names = F.array(*[F.lit(s) for s in ("raw", "language", "speaker", "quality")])
     rows = joined.select(F.substring("sample_id", 1, 5).alias("pair"), "src_sec", "tgt_sec", F.posexplode(F.slice(names, F.lit(1), passed + 1)).alias("k", "stage"))
     out = statistics.stage_statistics(rows, "pair", "stage", "k", "src_sec", "tgt_sec")
-    digits = {"source_hours": 9, "target_hours": 9, "total_hours": 9, "avg_source_duration_sec": 6, "avg_target_duration_sec": 6}
+    digits = {"source_hours": 9, "target_hours": 9, "total_hours": 9, "avg_source_duration_sec": 10, "avg_target_duration_sec": 10}
     return out.withColumns({c: F.round(c, n) for c, n in digits.items()} | {"retention_from_previous_stage": F.round("retention_from_previous_stage", 9)})
 
 
