@@ -86,10 +86,8 @@ _OPTIONS = {
 }
 
 
-def _bulk(lines: pa.Array, strict: pa.Array) -> list[pa.Array] | None:
-    """All fields of a block of records by the fast reader, or None if one may be malformed."""
-    if not pc.all(strict).as_py():
-        return None
+def _bulk(lines: pa.Array) -> list[pa.Array] | None:
+    """All fields of a block of records by the fast reader, or None if it can't read them."""
     joined = b"\n".join(x.encode() for x in lines.to_pylist()) + b"\n"
     try:
         parsed = pacsv.read_csv(BytesIO(joined), pacsv.ReadOptions(column_names=list(FIELDS), use_threads=False, block_size=len(joined) + 1), **_OPTIONS)
@@ -108,34 +106,50 @@ def _usable(columns: list[pa.Array]) -> pa.Array:
 
 
 def load_block(lines: pa.Array) -> tuple[list[list[str | None]], list[str | None]]:
-    """Columns of fields (null where the record is bad) and the reasons, in the order of ``lines``."""
-    columns: list[list[str | None]] = [[] for _ in FIELDS]
-    reasons: list[str | None] = []
-
-    def add(fields: list[str] | None, reason: str | None) -> None:
-        for k, column in enumerate(columns):
-            column.append(fields[k] if fields else None)
-        reasons.append(reason)
+    """Columns of fields (null where the record is bad) and the reasons, in the order of ``lines``.
 
-    strict = pc.fill_null(pc.match_substring_regex(lines, _strict_form(len(FIELDS))), False)
-    open_ = [(0, len(lines))]
+    A block with a record that hasn't the strict form is halved until such records stand
+    alone; the clean parts are then parsed together. Should the reader fail on them after
+    all (an unquoted line break), they are halved in the same way.
+    """
+    n = len(lines)
+    columns: list[list[str | None]] = [[None] * n for _ in FIELDS]
+    reasons: list[str | None] = [None] * n
+
+    def strictly(k: int) -> None:
+        fields, reasons[k] = diagnose(lines[k].as_py())
+        for column, value in zip(columns, fields or ()):
+            column[k] = value
+
+    strict = pc.fill_null(pc.match_substring_regex(lines, _strict_form(len(FIELDS))), False).to_numpy(zero_copy_only=False)
+    clean: list[int] = []
+    open_ = [(0, n)]
     while open_:
-        at, n = open_.pop()
-        block = lines.slice(at, n)
-        parsed = _bulk(block, strict.slice(at, n)) if n else None
-        if parsed is not None:
-            ok = _usable(parsed).to_pylist()
-            if all(ok):
-                for column, got in zip(columns, parsed):
-                    column += got.to_pylist()
-                reasons += [None] * n
+        at, size = open_.pop()
+        if strict[at : at + size].all():
+            clean += range(at, at + size)
+        elif size > 1:
+            open_ += [(at, size // 2), (at + size // 2, size - size // 2)]
+        else:
+            strictly(at)
+    parts = [clean] if clean else []
+    while parts:
+        part = parts.pop()
+        parsed = _bulk(lines.take(pa.array(part, pa.int64())))
+        if parsed is None:
+            if len(part) == 1:
+                strictly(part[0])
             else:
-                for good, line, *fields in zip(ok, block.to_pylist(), *(c.to_pylist() for c in parsed)):
-                    add(*((fields, None) if good else diagnose(line)))
-        elif n > 1:
-            open_ += [(at + n // 2, n - n // 2), (at, n // 2)]
-        elif n:
-            add(*diagnose(block[0].as_py()))
+                parts += [part[: len(part) // 2], part[len(part) // 2 :]]
+            continue
+        for column, values in zip(columns, parsed):
+            for k, value in zip(part, values.to_pylist()):
+                column[k] = value
+        for k, ok in zip(part, _usable(parsed).to_pylist()):
+            if not ok:
+                for column in columns:
+                    column[k] = None
+                strictly(k)
     return columns, reasons
 
 
