@@ -5,9 +5,16 @@ For continuous periods, where each moment counts once, see ``intervals``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.intervals import listed_segments
+
+_LIST = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64()), ("speaker", pa.string())]))
+
 
 def segment_rows(logs: DataFrame, keys: list[str], json_col: str = "segments_json") -> DataFrame:
     """(keys..., start, end, speaker) of lists of ``{"start", "end", "speaker"}`` objects, end after start."""
@@ -15,6 +22,19 @@ def segment_rows(logs: DataFrame, keys: list[str], json_col: str = "segments_jso
     return logs.select(*keys, F.inline(F.from_json(json_col, schema))).filter(F.col("end") > F.col("start"))
 
 
+def segment_lists(logs: DataFrame, keys: list[str], json_col: str = "segments_json") -> DataFrame:
+    """(keys..., segments): each list, in any notation and unmerged; null where it isn't valid JSON."""
+    schema = ", ".join([*(f"`{c}` {logs.schema[c].dataType.simpleString()}" for c in keys), "segments array<struct<start:double,end:double,speaker:string>>"])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = [listed_segments(t) for t in batch.column(len(keys)).to_pylist()]
+            lists = pa.array([x and [dict(zip(("start", "end", "speaker"), s)) for s in x] for x in read], _LIST)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), lists], [*keys, "segments"])
+
+    return logs.select(*keys, json_col).mapInArrow(parse, schema)
+
+
 def speaker_seconds(segments: DataFrame, keys: list[str]) -> DataFrame:
     return segments.groupBy(*keys, "speaker").agg(
         F.sum(F.col("end") - F.col("start")).alias("seconds"),

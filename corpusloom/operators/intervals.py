@@ -59,32 +59,38 @@ def _one(x: Any) -> tuple[float, float, str] | None:
         return None
 
 
-def read_segments(text: str | None) -> list[tuple[int, int, str]]:
-    """All readable segments of a JSON text as (start_ms, end_ms, speaker).
+def listed_segments(text: str | None) -> list[tuple[float, float, str]] | None:
+    """All readable segments of a JSON text as (start, end, speaker), as listed, in seconds.
 
     Objects under several field names, triples, plain text, numbers as text, lists within
     lists and any mixture are read; an element that can't be read is passed over, and so
-    is a segment whose end isn't after its start. Null or invalid JSON has no segments.
+    is a segment whose end isn't after its start. Null has no segments; of invalid JSON
+    nothing is known, which None tells.
     """
     if text is None:
         return []
     try:
         open_ = [json.loads(text)]
     except (ValueError, RecursionError):
-        return []
+        return None
     found = []
     while open_:
         x = open_.pop()
         got = _one(x)
         if got:
-            start, end = round(got[0] * 1000), round(got[1] * 1000)
-            if end > start:
-                found.append((start, end, got[2]))
+            if got[1] > got[0]:
+                found.append(got)
         elif isinstance(x, list):
             open_ += x
     return found
 
 
+def read_segments(text: str | None) -> list[tuple[int, int, str]]:
+    """The listed segments as (start_ms, end_ms, speaker), without those that are empty in whole milliseconds."""
+    rounded = ((round(s * 1000), round(e * 1000), speaker) for s, e, speaker in listed_segments(text) or [])
+    return [x for x in rounded if x[1] > x[0]]
+
+
 def paired(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     """Periods of the intervals with these starts and ends, by independent ranks."""
     starts, ends = sorted(starts), sorted(ends)

@@ -166,6 +166,70 @@ def vad_span(spark: SparkSession, sf: str) -> DataFrame:
     return strings.withColumn("span", F.round(X.vad_span(F.col("vad")), 6))
 
 
+#: The lists of all done rows in every notation, those that are empty or can't be read included.
+_LISTS = r"""WITH done AS (SELECT DISTINCT row_id, side, logged_at, segments_json FROM sortformer_audio_progress WHERE status = 'done'),
+ heads AS (SELECT row_id, side, logged_at, bool_or(segments_json IS NULL OR json_valid(segments_json)) AS readable FROM done GROUP BY ALL),
+ raw AS (SELECT row_id, side, logged_at, CAST(segments_json AS JSON) AS j FROM done WHERE json_valid(segments_json)),
+ one AS (SELECT row_id, side, logged_at, unnest(CASE WHEN json_type(j) = 'ARRAY' THEN CAST(j AS JSON[]) ELSE [j] END) AS e FROM raw),
+ two AS (SELECT row_id, side, logged_at, unnest(CASE WHEN json_type(e) = 'ARRAY' AND (json_type(e, '$[0]') IN ('OBJECT', 'ARRAY') OR (e->>'$[0]') LIKE '% %') THEN CAST(e AS JSON[]) ELSE [e] END) AS e FROM one),
+ parts AS (SELECT row_id, side, logged_at, e, json_type(e) AS kind, regexp_split_to_array(trim(replace(e->>'$', ',', ' ')), '\s+') AS p FROM two),
+ s AS (SELECT row_id, side, logged_at,
+   TRY_CAST(CASE kind WHEN 'OBJECT' THEN coalesce(e->>'start', e->>'begin', e->>'start_time') WHEN 'ARRAY' THEN e->>'$[0]' ELSE p[1] END AS DOUBLE) AS "start",
+   TRY_CAST(CASE kind WHEN 'OBJECT' THEN coalesce(e->>'end', e->>'end_time') WHEN 'ARRAY' THEN e->>'$[1]' ELSE p[2] END AS DOUBLE) AS "end",
+   CASE kind WHEN 'OBJECT' THEN coalesce(e->>'speaker', e->>'speaker_id', e->>'label') WHEN 'ARRAY' THEN e->>'$[2]' ELSE p[3] END AS speaker FROM parts),
+ f AS (SELECT * FROM s WHERE "end" > "start" AND speaker IS NOT NULL)
+"""
+
+
+def _done_lists(spark: SparkSession, sf: str) -> DataFrame:
+    log = table(spark, sf, LOG).filter(F.col("status") == "done").select(*_KEYS, "segments_json").distinct()
+    return stage(diarization.segment_lists(log, _KEYS), "lists")
+
+
+def _with_empty(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` with a row for every list's keys, and whether one of their lists could be read."""
+    heads = lists.groupBy(*_KEYS).agg(F.bool_or(F.col("segments").isNotNull()).alias("readable"))
+    right = found.withColumnsRenamed({k: f"_r_{k}" for k in _KEYS})
+    return heads.join(right, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in _KEYS], "left").drop(*(f"_r_{k}" for k in _KEYS))
+
+
+_NUMBERS = ("num_speakers", "num_segments", "speaker_switches", "total_labeled_duration", "dominant_duration", "secondary_duration", "secondary_ratio")
+
+
+@C.add(_LISTS + """, per AS (SELECT row_id, side, logged_at, speaker, sum("end" - "start") AS seconds, count(*) AS segments, min(("start", "end")) AS first_seg FROM f GROUP BY ALL),
+ w AS (SELECT *, row_number() OVER (PARTITION BY row_id, side, logged_at ORDER BY round(seconds, 6) DESC, first_seg, speaker) AS rn FROM per),
+ t AS (SELECT row_id, side, logged_at, count(*) AS num_speakers, CAST(sum(segments) AS BIGINT) AS num_segments, sum(seconds) AS total FROM per GROUP BY ALL),
+ sw AS (SELECT row_id, side, logged_at, count(*) FILTER (prev <> speaker) AS speaker_switches FROM (SELECT *, lag(speaker) OVER (PARTITION BY row_id, side, logged_at ORDER BY "start", "end", speaker) AS prev FROM f) GROUP BY ALL),
+ a AS (SELECT t.row_id, t.side, t.logged_at, num_speakers, num_segments, speaker_switches, round(total, 6) AS total_labeled_duration, w.speaker AS dominant_speaker,
+   round(w.seconds, 6) AS dominant_duration, round(total - w.seconds, 6) AS secondary_duration, round((total - w.seconds) / total, 6) AS secondary_ratio
+ FROM t JOIN w ON w.rn = 1 AND w.row_id = t.row_id AND w.side = t.side AND w.logged_at = t.logged_at JOIN sw ON sw.row_id = t.row_id AND sw.side = t.side AND sw.logged_at = t.logged_at)
+ SELECT h.row_id, h.side, h.logged_at, readable, dominant_speaker, """ + ", ".join(f"CASE WHEN readable THEN coalesce({c}, 0) END AS {c}" for c in _NUMBERS) + """
+ FROM heads h LEFT JOIN a ON a.row_id IS NOT DISTINCT FROM h.row_id AND a.side IS NOT DISTINCT FROM h.side AND a.logged_at IS NOT DISTINCT FROM h.logged_at""")
+def speaker_analysis_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every done row: zero speakers for an empty list, nulls for one that can't be read."""
+    lists = _done_lists(spark, sf)
+    out = _with_empty(lists, diarization.analysis(lists.select(*_KEYS, F.inline("segments")), _KEYS))
+    zero = {c: F.when(F.col("readable"), F.coalesce(F.round(c, 6) if t == "double" else F.col(c), F.lit(0).cast(t))) for c, t in out.dtypes if c in _NUMBERS}
+    return out.select(*_KEYS, "readable", "dominant_speaker", *(zero[c].alias(c) for c in _NUMBERS))
+
+
+@C.add(_LISTS + """SELECT row_id, side, logged_at, speaker, round(sum("end" - "start"), 6) AS seconds, count(*) AS segments FROM f GROUP BY ALL""")
+def speaker_durations_all(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _done_lists(spark, sf).select(*_KEYS, F.inline("segments"))
+    return diarization.speaker_seconds(rows, _KEYS).select(*_KEYS, "speaker", F.round("seconds", 6).alias("seconds"), "segments")
+
+
+@C.add(_LISTS + """, v AS (SELECT row_id, side, logged_at, string_agg("start" || ':' || "end", ' ' ORDER BY "start", "end", speaker) AS vad, round(max("end") - min("start"), 6) AS span FROM f GROUP BY ALL)
+ SELECT h.row_id, h.side, h.logged_at, readable, CASE WHEN readable THEN coalesce(vad, '') END AS vad, span
+ FROM heads h LEFT JOIN v ON v.row_id IS NOT DISTINCT FROM h.row_id AND v.side IS NOT DISTINCT FROM h.side AND v.logged_at IS NOT DISTINCT FROM h.logged_at""")
+def vad_span_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every done row: an empty text and no span for an empty list, nulls for one that can't be read."""
+    parts = F.sort_array(F.flatten(F.collect_list("segments")))
+    text = F.array_join(F.transform(parts, lambda p: F.concat(p["start"].cast("string"), F.lit(":"), p["end"].cast("string"))), " ")
+    strings = _done_lists(spark, sf).groupBy(*_KEYS).agg(F.bool_or(F.col("segments").isNotNull()).alias("readable"), text.alias("vad"))
+    return strings.select(*_KEYS, "readable", F.when(F.col("readable"), F.col("vad")).alias("vad"), F.round(X.vad_span(F.col("vad")), 6).alias("span"))
+
+
 @C.add("""SELECT row_id, side, logged_at, k AS speaker, CAST(json_extract(speaker_durations_json, '$."' || k || '"') AS DOUBLE) AS seconds
   FROM (SELECT row_id, side, logged_at, speaker_durations_json, unnest(json_keys(speaker_durations_json)) AS k FROM sortformer_audio_progress WHERE json_valid(speaker_durations_json))""")
 def duration_map_rows(spark: SparkSession, sf: str) -> DataFrame:
