@@ -313,16 +313,33 @@ def _folder(spark: SparkSession, name: str) -> str:
 _FLAT = "regexp_replace(coalesce({0}, ''), '[\\t\\n\\r\"]', ' ', 'g')"
 
 
+_MANIFEST_COLUMNS = ["line_no", "sample_id", "src_audio", "tgt_audio", "src_text", "tgt_text", "src_lang", "tgt_lang", "show_id", "ingested_at"]
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole manifest as text, otherwise unchanged."""
+    return table(spark, sf, MANIFEST).select(*[F.col(c).cast("string").alias(c) for c in _MANIFEST_COLUMNS])
+
+
 def _written(spark: SparkSession, sf: str, compression: str = "none") -> str:
-    flat = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), '[\t\n\r"]', " ").alias(c)
     path = _folder(spark, "tsv")
-    tsv.write_tsv(table(spark, sf, MANIFEST).select(F.col("line_no").cast("string"), "sample_id", flat("src_text"), flat("tgt_audio")), path, compression=compression)
+    tsv.write_tsv(_texts(spark, sf), path, compression=compression)
     return path
 
 
+def _flattened(df: DataFrame) -> DataFrame:
+    """Four columns of a scan of the whole manifest, with blanks for tabs, line breaks and quotes."""
+    flat = lambda c: F.regexp_replace(c, '[\t\n\r"]', " ").alias(c)
+    return df.select("line_no", "sample_id", flat("src_text"), flat("tgt_audio"))
+
+
+def _every_column(form: str, columns: list[str] = _MANIFEST_COLUMNS) -> str:
+    return ", ".join(f"{form.format(f'CAST({c} AS VARCHAR)')} AS {c}" for c in columns)
+
+
 @C.add(f"SELECT CAST(line_no AS VARCHAR) AS line_no, sample_id, {_FLAT.format('src_text')} AS src_text, {_FLAT.format('tgt_audio')} AS tgt_audio FROM stage_00_aligned_pair_manifest")
 def tsv_strings(spark: SparkSession, sf: str) -> DataFrame:
-    return tsv.read_tsv(spark, _written(spark, sf, "gzip"), "strings", columns=None)
+    return _flattened(tsv_strings_all(spark, sf))
 
 
 _NA = "('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null')"
@@ -330,12 +347,28 @@ _NA = "('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1
 
 @C.add(f"SELECT line_no, sample_id, CASE WHEN {_FLAT.format('src_text')} NOT IN {_NA} THEN {_FLAT.format('src_text')} END AS src_text, CASE WHEN {_FLAT.format('tgt_audio')} NOT IN {_NA} THEN {_FLAT.format('tgt_audio')} END AS tgt_audio FROM stage_00_aligned_pair_manifest")
 def tsv_inferred(spark: SparkSession, sf: str) -> DataFrame:
-    return tsv.read_tsv(spark, _written(spark, sf), "inferred", {"line_no": "bigint"})
+    return _flattened(tsv_inferred_all(spark, sf))
 
 
 @C.add(f"SELECT CAST(line_no AS VARCHAR) AS line_no, sample_id, CASE WHEN {_FLAT.format('src_text')} IN {_NA} THEN '' ELSE {_FLAT.format('src_text')} END AS src_text, CASE WHEN {_FLAT.format('tgt_audio')} IN {_NA} THEN '' ELSE {_FLAT.format('tgt_audio')} END AS tgt_audio FROM stage_00_aligned_pair_manifest")
 def tsv_filled(spark: SparkSession, sf: str) -> DataFrame:
-    return tsv.read_tsv(spark, _written(spark, sf), "filled")
+    return _flattened(tsv_filled_all(spark, sf))
+
+
+@C.add(f"SELECT {_every_column("coalesce({0}, '')")} FROM stage_00_aligned_pair_manifest")
+def tsv_strings_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole manifest written and read again; quoted tabs, line breaks and quotes come back as they were."""
+    return tsv.read_tsv(spark, _written(spark, sf, "gzip"), "strings", multiline=True)
+
+
+@C.add(f"SELECT line_no, {_every_column(f'CASE WHEN {{0}} NOT IN {_NA} THEN {{0}} END', _MANIFEST_COLUMNS[1:])} FROM stage_00_aligned_pair_manifest")
+def tsv_inferred_all(spark: SparkSession, sf: str) -> DataFrame:
+    return tsv.read_tsv(spark, _written(spark, sf), "inferred", {"line_no": "bigint"}, multiline=True)
+
+
+@C.add(f"SELECT {_every_column(f"CASE WHEN {{0}} NOT IN {_NA} THEN {{0}} ELSE '' END")} FROM stage_00_aligned_pair_manifest")
+def tsv_filled_all(spark: SparkSession, sf: str) -> DataFrame:
+    return tsv.read_tsv(spark, _written(spark, sf), "filled", multiline=True)
 
 
 @C.add("SELECT DISTINCT sample_id AS value FROM dnsmospro_quality_pairs WHERE NOT coalesce(selected, false)")
@@ -354,11 +387,19 @@ def score_cache(spark: SparkSession, sf: str) -> DataFrame:
 
 @C.add("SELECT sample_id, src_audio, coalesce(tgt_audio, '') AS tgt_audio, coalesce(src_lang, '') AS src_lang FROM stage_00_aligned_pair_manifest")
 def shard_union(spark: SparkSession, sf: str) -> DataFrame:
-    df = table(spark, sf, MANIFEST).select("line_no", "sample_id", "src_audio", "tgt_audio", "src_lang")
+    return shard_union_all(spark, sf).select("sample_id", "src_audio", "tgt_audio", "src_lang")
+
+
+_SHARD_COLUMNS = ["sample_id", "line_no", *_MANIFEST_COLUMNS[2:]]
+
+
+@C.add(f"SELECT {_every_column("coalesce({0}, '')", _SHARD_COLUMNS)} FROM stage_00_aligned_pair_manifest")
+def shard_union_all(spark: SparkSession, sf: str) -> DataFrame:
+    df = _texts(spark, sf).select(*_SHARD_COLUMNS)
     root = _folder(spark, "shards")
     for k in range(3):
-        tsv.write_tsv(df.filter(F.col("line_no") % 3 == k).drop("line_no"), f"{root}/shard{k:03d}", mode="overwrite")
-    return tsv.read_shards(spark, f"{root}/shard*", ["sample_id", "src_audio", "tgt_audio", "src_lang"])
+        tsv.write_tsv(df.filter(F.col("line_no").cast("bigint") % 3 == k), f"{root}/shard{k:03d}", mode="overwrite")
+    return tsv.read_shards(spark, f"{root}/shard*", _SHARD_COLUMNS, multiline=True)
 
 
 # Streaming ------------------------------------------------------------------------------------------

@@ -45,13 +45,19 @@ def read_tsv(spark: SparkSession, path: str | list[str], mode: str, types: dict[
     return df
 
 
-def read_shards(spark: SparkSession, pattern: str, header: list[str]) -> DataFrame:
-    """All shard files of a pattern; a file with another header is an error, an empty one is skipped."""
+def read_shards(spark: SparkSession, pattern: str, header: list[str], multiline: bool = False) -> DataFrame:
+    """All shard files of a pattern; a file with another header is an error, an empty one is skipped.
+
+    ``multiline`` reads quoted line breaks, one task per file; then only a file's first line is taken for its header.
+    """
     lines = spark.read.text(pattern, wholetext=False).select("value", F.input_file_name().alias("file"))
+    if multiline:
+        place = F.struct(F.input_file_block_start(), F.monotonically_increasing_id())
+        lines = lines.select("file", "value", place.alias("_place")).groupBy("file").agg(F.min_by("value", "_place").alias("value"))
     wrong = lines.filter(F.col("value").startswith(header[0] + "\t") & (F.col("value") != "\t".join(header))).limit(1).collect()
     if wrong:
         raise ValueError(f"{wrong[0]['file']} has the header {wrong[0]['value']!r}")
-    return read_tsv(spark, pattern, "strings", columns=header).filter(F.col(header[0]) != header[0])
+    return read_tsv(spark, pattern, "strings", columns=header, multiline=multiline).filter(F.col(header[0]) != header[0])
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:

@@ -47,6 +47,31 @@ def test_shards(spark, tmp_path):
         tsv.read_shards(spark, str(tmp_path / "shard*/m.tsv"), ["id", "p"])
 
 
+def test_shards_with_quoted_line_breaks(spark, tmp_path):
+    rows = [("1", 'say "hi"\tthere'), ("2", "two\nlines"), ("3", "a\nid\tp\r\nid\tother"), ("4", "")]
+    for k in range(2):
+        tsv.write_tsv(spark.createDataFrame(rows[k::2], "id string, p string"), str(tmp_path / f"shard{k:03}"), single=True)
+    assert sorted(tuple(r) for r in tsv.read_shards(spark, str(tmp_path / "shard*"), ["id", "p"], multiline=True).collect()) == rows
+    tsv.write_tsv(spark.createDataFrame([("5", "c")], "id string, other string"), str(tmp_path / "shard002"), single=True)
+    with pytest.raises(ValueError):
+        tsv.read_shards(spark, str(tmp_path / "shard*"), ["id", "p"], multiline=True)
+
+
+def test_queries_scan_quoted_fields(spark, tmp_path):
+    from corpusloom.plans import evaluation
+
+    texts = ['say "hi"', "tab\there", "two\nlines", "", "NA", None]
+    rows = [(i, f"id{i}", "s.wav", "t.wav", t, t, "en", "es", "show") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "line_no bigint, sample_id string, src_audio string, tgt_audio string, src_text string, tgt_text string, src_lang string, tgt_lang string, show_id string")
+    df.selectExpr("*", "timestamp'2024-01-02 03:04:05' AS ingested_at").write.parquet(f"{tmp_path}/{evaluation.MANIFEST}.parquet")
+    for name, want in (
+        ("tsv_strings_all", [*texts[:3], "", "NA", ""]), ("tsv_inferred_all", [*texts[:3], None, None, None]),
+        ("tsv_filled_all", [*texts[:3], "", "", ""]), ("shard_union_all", [*texts[:3], "", "NA", ""]),
+    ):
+        got = {r["sample_id"]: (r["src_text"], r["tgt_text"]) for r in evaluation.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == {f"id{i}": (t, t) for i, t in enumerate(want)}, name
+
+
 def test_pairs_with_and_without_id(spark, tmp_path):
     new = put(tmp_path / "n.tsv", "id\tsource\ttarget\toutput\nx\ta\tb\tc\n")
     old = put(tmp_path / "o.tsv", "src\ttgt\tout\na\tb\tc\nd\te\tf\n")
