@@ -263,6 +263,15 @@ def segment_pooling(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", F.round(F.get(parts, F.lit(0)), 5).alias("part_0"), F.round(F.get(parts, F.lit(3)), 5).alias("part_3"))
 
 
+_PARTS = range(4)
+
+
+@C.add("SELECT vec_id, " + ", ".join(f"round(list_sum(embedding[{16 * k + 1}:{16 * k + 16}])::DOUBLE / 16, 5) AS part_{k}" for k in _PARTS) + " FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)")
+def segment_pooling_all(spark: SparkSession, sf: str) -> DataFrame:
+    parts = statistics.segment_means(F.col("embedding").cast("array<double>"), len(_PARTS))
+    return table(spark, sf, "embeddings").select("vec_id", *[F.round(F.get(parts, F.lit(k)), 5).alias(f"part_{k}") for k in _PARTS])
+
+
 @C.add("SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def neighbour_cosine(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "embeddings")
