@@ -286,6 +286,18 @@ def indexed_vector_fetch(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(vectors, "vec_id").select("o_orderkey", "vec_id", "dim_ok", "first")
 
 
+@C.add("""SELECT k.o_orderkey, k.vec_id, len(e.embedding) = 64 AS dim_ok, round(e.embedding[1]::DOUBLE, 6) AS first
+  FROM (SELECT o_orderkey, o_custkey % (SELECT max(vec_id) + 1 FROM embeddings) AS vec_id FROM orders) k LEFT JOIN embeddings e ON e.vec_id = k.vec_id""")
+def indexed_vector_fetch_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Indices over the whole table of vectors; an index without a vector is an error."""
+    embeddings = table(spark, sf, "embeddings")
+    size = embeddings.agg((F.max("vec_id") + 1).alias("size"))
+    rows = table(spark, sf, "orders").crossJoin(F.broadcast(size)).select("o_orderkey", (F.col("o_custkey") % F.col("size")).alias("vec_id"))
+    vectors = embeddings.select("vec_id", F.lit(True).alias("found"), (F.size("embedding") == 64).alias("dim_ok"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
+    missing = F.raise_error(F.concat(F.lit("no vector "), F.coalesce(F.col("vec_id").cast("string"), F.lit("null"))))
+    return rows.join(vectors, "vec_id", "left").select("o_orderkey", "vec_id", F.when(F.col("found"), F.col("dim_ok")).otherwise(missing).alias("dim_ok"), "first")
+
+
 # Windows ------------------------------------------------------------------------------------------
 
 
