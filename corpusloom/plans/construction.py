@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import expr as X
 from corpusloom.operators import diarization, incremental, relational, selection, statistics
 from corpusloom.plans.catalogue import Catalogue
+from corpusloom.plans.pipeline import Pipeline
 from corpusloom.staging import stage, table
 
 C = Catalogue()
@@ -376,27 +377,43 @@ _FUNNEL = f"""WITH m AS ({_FIRST}), l AS ({_LATEST}), sc AS (SELECT sample_id, m
    round(t / num_pairs, 10) AS avg_target_duration_sec, round(num_pairs::DOUBLE / lag(num_pairs) OVER (PARTITION BY pair ORDER BY k), 9) AS retention_from_previous_stage FROM a"""
 
 
-@C.add(_FUNNEL)
-def construction_funnel(spark: SparkSession, sf: str) -> DataFrame:
-    """The gates one after another over the whole manifest, with counts and hours per stage.
-
-    Every row gets the number of gates it passes; one explode gives its stages.
-    """
+def _gated(spark: SparkSession, sf: str) -> Pipeline:
+    """The whole manifest with its gates; the tables have no flags for the denoise stage."""
     m = selection.first_per_key(table(spark, sf, MANIFEST).select("line_no", "sample_id", "src_lang", "tgt_lang"), ["sample_id"], ["line_no"])
     latest = relational.to_pairs(_latest(spark, sf), ["num_speakers"])
     seconds = relational.to_pairs(table(spark, sf, LOG).groupBy("row_id", "side").agg(F.max("total_labeled_duration").alias("sec")), ["sec"])
     lang = relational.language_match(F.col("src_lang"), F.substring("sample_id", 1, 2)) & relational.language_match(F.col("tgt_lang"), F.substring("sample_id", 4, 2))
     speaker = relational.strict_single_speaker(F.col("src_num_speakers")) & relational.strict_single_speaker(F.col("tgt_num_speakers"))
-    quality = F.coalesce(F.col("score") >= 3.5, F.lit(False))
     joined = m.join(latest.withColumnRenamed("row_id", "sample_id"), "sample_id", "left").join(seconds.withColumnRenamed("row_id", "sample_id"), "sample_id", "left").join(_records(spark, sf), "sample_id", "left")
-    passed = F.when(~lang, 0).when(~speaker, 1).when(~quality, 2).otherwise(3)
-    names = F.array(*[F.lit(s) for s in ("raw", "language", "speaker", "quality")])
-    rows = joined.select(F.substring("sample_id", 1, 5).alias("pair"), "src_sec", "tgt_sec", F.posexplode(F.slice(names, F.lit(1), passed + 1)).alias("k", "stage"))
-    out = statistics.stage_statistics(rows, "pair", "stage", "k", "src_sec", "tgt_sec")
+    return Pipeline(joined).gate("language", lang).gate("speaker", speaker).gate("quality", F.col("score") >= 3.5)
+
+
+def _funnel(gated: Pipeline) -> DataFrame:
+    out = gated.funnel(F.substring("sample_id", 1, 5), F.col("src_sec"), F.col("tgt_sec"))
     digits = {"source_hours": 9, "target_hours": 9, "total_hours": 9, "avg_source_duration_sec": 10, "avg_target_duration_sec": 10}
     return out.withColumns({c: F.round(c, n) for c, n in digits.items()} | {"retention_from_previous_stage": F.round("retention_from_previous_stage", 9)})
 
 
+@C.add(_FUNNEL)
+def construction_funnel(spark: SparkSession, sf: str) -> DataFrame:
+    """The gates one after another over the whole manifest, with counts and hours per stage."""
+    return _funnel(_gated(spark, sf))
+
+
+@C.add(
+    _FUNNEL.replace(" AS q_ok\n", " AS q_ok, m.sample_id IN (SELECT sample_id FROM train_metadata WHERE sample_id IS NOT NULL) AS t_ok\n")
+    .replace("AND q_ok),", "AND q_ok UNION ALL SELECT pair, 'training', 4, src_sec, tgt_sec FROM f WHERE lang_ok AND spk_ok AND q_ok AND t_ok),")
+    .replace("round(num_pairs::DOUBLE / lag(num_pairs) OVER (PARTITION BY pair ORDER BY k), 9) AS", "CASE WHEN stage <> 'training' THEN round(num_pairs::DOUBLE / lag(num_pairs) OVER (PARTITION BY pair ORDER BY k), 9) END AS")
+)
+def construction_funnel_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The funnel down to the training split, which has no retention, as in the stage table."""
+    gated = _gated(spark, sf)
+    train = table(spark, sf, TRAIN).select("sample_id").distinct().withColumn("in_training", F.lit(True))
+    gated.rows = gated.rows.join(train, "sample_id", "left")
+    out = _funnel(gated.gate("training", F.col("in_training")))
+    return out.withColumn("retention_from_previous_stage", F.when(F.col("stage") != "training", F.col("retention_from_previous_stage")))
+
+
 @C.add(_STAGES + "SELECT a.pair, a.num_pairs, b.num_pairs AS expected_num_pairs FROM s a JOIN s b ON a.pair = b.pair AND a.k = 4 AND b.k = 5 WHERE a.num_pairs <> b.num_pairs OR abs(a.source_hours - b.source_hours) > 0.02")
 def stage_mismatches(spark: SparkSession, sf: str) -> DataFrame:
     pair = F.regexp_replace(F.lower(F.trim("language_pair")), "[^a-z]+", "_")
