@@ -15,7 +15,7 @@ given more weight in a second training. Words are compared after disguises are u
 case, zero-width characters, digits and signs for letters, letters set apart or repeated.
 
 The fit takes at most ``MAX_LABELLED`` labelled documents, chosen by a hash of their id,
-of at most ``MAX_LABELLED_CHARS`` characters each; every document is scored, and every
+of at most ``MAX_LABELLED_CHARS`` characters each, and all of their windows; every document is scored, and every
 window of it. Documents whose labels disagree, or have none, are no examples. Without
 enough examples of both kinds nothing can be told: all scores are null. Null, blank or
 wordless texts have a null score and are not flagged.
@@ -41,7 +41,6 @@ MAX_LABELLED_CHARS = 20_000
 CALIBRATION_SHARE = 4
 WINDOW, STEP = 10, 4
 DICTIONARY_BYTES = 256 * 1024
-MAX_SAMPLES = 120_000
 LEVEL = 3
 #: Log odds of a word pair in a passage that serves as an example, and above which a window isn't ordinary.
 TELLING, SUSPECT = 2.5, 1.5
@@ -120,7 +119,7 @@ def _pair_odds(documents: list[list[str]], labels: list[int]) -> dict[tuple[str,
 
 
 def _dictionary(samples: list[str]) -> bytes:
-    encoded = [s.encode() for s in samples[:MAX_SAMPLES]]
+    encoded = [s.encode() for s in samples]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, encoded).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on

@@ -1,5 +1,6 @@
 import random
 
+from corpusloom.llm import abuse
 from corpusloom.llm.abuse import abuse_scores, fit, plain_words, score
 
 NAMES = ["Bopu", "Kila", "Samo", "Tavi", "Roke", "Vemi", "Ludo", "Neri"]
@@ -57,6 +58,13 @@ def test_spark_form_with_odd_rows(spark):
     assert right >= 45
 
 
+def test_dictionary_takes_all_windows(monkeypatch):
+    given = []
+    monkeypatch.setattr(abuse.zstandard, "train_dictionary", lambda size, samples: given.append(len(samples)) or abuse.zstandard.ZstdCompressionDict(b"x" * 100))
+    abuse._dictionary(["ten short words"] * 150_000)
+    assert given == [150_000]
+
+
 def test_without_examples(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, flagged int")
