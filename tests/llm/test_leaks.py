@@ -1,6 +1,7 @@
 import random
 
-from corpusloom.llm.leaks import leaks
+import pyarrow as pa
+from corpusloom.llm.leaks import build_index, leaks, search, word_lists
 from corpusloom.llm.text import words
 
 DOCS, ITEMS = "doc_id long, text string, sample_id string", "sample_id string, source_text string, reference_text string"
@@ -46,7 +47,7 @@ def test_against_brute_force(spark):
     d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
     want = brute(docs, items)
     assert want
-    for k in ({}, {"max_items": 16}):
+    for k in ({}, {"max_chars": 2_000}):
         assert {tuple(r) for r in leaks(d, i, **k).collect()} == want
 
 
@@ -55,3 +56,27 @@ def test_empty(spark):
     assert leaks(d.limit(0), i).count() == 0
     assert leaks(d, i.limit(0)).count() == 0
     assert leaks(d, i).count() == 1
+
+
+def test_punctuation_at_either_end_is_no_word(spark):
+    eleven = " ".join(f"word{k}" for k in range(11))
+    i = spark.createDataFrame([("a", f"{eleven}.", None), ("b", f'"{eleven}"', None), ("c", f"«{eleven} twelve»", None)], ITEMS)
+    texts = [f"Before. {eleven}.", f"{eleven}.", f'"{eleven}"', f'"{eleven}', f'"{eleven} twelve"', f"... {eleven} ... twelve ..."]
+    d = spark.createDataFrame([(k, t, "") for k, t in enumerate(texts)], DOCS)
+    assert {tuple(r) for r in leaks(d, i).collect()} == {(4, "c", True, False), (5, "c", True, False)}
+    assert word_lists(pa.array(['"a b."', "", None, "...", "c"]))[1].tolist() == [2, 0, 0, 0, 1]
+
+
+def test_one_index_of_many_items():
+    rng = random.Random(5)
+    vocabulary = [f"w{int(rng.paretovariate(0.6))}" for _ in range(30_000)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(10, 30))) for _ in range(20_000)]
+    index = build_index([(str(k), t, None) for k, t in enumerate(texts)])
+    docs = [" ".join(rng.choice(vocabulary) for _ in range(60)) + " " + rng.choice(texts) + " x y z" for _ in range(150)]
+    want = {}
+    for k, t in enumerate(texts):
+        for g in grams(t):
+            want.setdefault(g, set()).add(str(k))
+    flat, sizes = word_lists(pa.array(docs))
+    got = {(d, index.owners[t][0]) for d, t in search(index, flat, sizes)}
+    assert got == {(d, k) for d, t in enumerate(docs) for g in grams(t) for k in want.get(g, ())}
