@@ -1,14 +1,15 @@
 """Loading delivered records in bulk, with the records that can't be loaded set apart.
 
-A block of records is parsed at once by Arrow's CSV reader. Where that fails, or a record
-of the block doesn't have the strict form, the block is halved again and again until the
-bad records stand alone; only those are read character by character for their reason.
+A block of records is parsed at once by Arrow's CSV reader. Where that fails, the block is
+halved, and each half that fails again, until the bad records stand alone; only those are
+read character by character for their reason.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from io import BytesIO
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,11 +23,10 @@ AUDIO_SUFFIX = ".wav"
 
 BLOCK = 512
 #: One field: quoted with doubled quotes inside, or without any quote.
-_FIELD = '(?:"(?:[^"]|"")*"|[^"\t]*)'
+_FIELD = r'(?:"[^"]*(?:""[^"]*)*"|[^"\t]*)'
 
 
-def _strict_form(fields: int) -> str:
-    return f"(?s)^{_FIELD}(?:\t{_FIELD}){{{fields - 1}}}$"
+_STRICT_FORM = re.compile(rf"{_FIELD}(?:\t{_FIELD}){{{len(FIELDS) - 1}}}")
 
 
 def split_strictly(line: str) -> list[str] | None:
@@ -87,13 +87,22 @@ _OPTIONS = {
 
 
 def _bulk(lines: pa.Array) -> list[pa.Array] | None:
-    """All fields of a block of records by the fast reader, or None if it can't read them."""
-    joined = b"\n".join(x.encode() for x in lines.to_pylist()) + b"\n"
+    """All fields of a block of records by the fast reader, or None where the block fails.
+
+    The reader forgives misplaced quotes, so a block that it has read must also have the
+    strict form as a whole.
+    """
+    joined = pc.binary_join(pa.ListArray.from_arrays([0, len(lines)], lines), "\n")[0].as_buffer()
     try:
-        parsed = pacsv.read_csv(BytesIO(joined), pacsv.ReadOptions(column_names=list(FIELDS), use_threads=False, block_size=len(joined) + 1), **_OPTIONS)
+        parsed = pacsv.read_csv(pa.BufferReader(joined), pacsv.ReadOptions(column_names=list(FIELDS), use_threads=False, block_size=joined.size + 1), **_OPTIONS)
     except pa.ArrowInvalid:
         return None
-    return [c.combine_chunks() for c in parsed.columns] if parsed.num_rows == len(lines) else None
+    if parsed.num_rows != len(lines):
+        return None
+    quoted = lines.filter(pc.match_substring(lines, '"')).to_pylist()
+    if not all(map(_STRICT_FORM.fullmatch, quoted)):
+        return None
+    return [c.combine_chunks() for c in parsed.columns]
 
 
 def _usable(columns: list[pa.Array]) -> pa.Array:
@@ -105,52 +114,54 @@ def _usable(columns: list[pa.Array]) -> pa.Array:
     return ok
 
 
-def load_block(lines: pa.Array) -> tuple[list[list[str | None]], list[str | None]]:
-    """Columns of fields (null where the record is bad) and the reasons, in the order of ``lines``.
+@dataclass
+class Loader:
+    """Parses blocks; ``block`` is the size to try next, ``strict`` the records read strictly so far."""
 
-    A block with a record that hasn't the strict form is halved until such records stand
-    alone; the clean parts are then parsed together. Should the reader fail on them after
-    all (an unquoted line break), they are halved in the same way.
-    """
-    n = len(lines)
-    columns: list[list[str | None]] = [[None] * n for _ in FIELDS]
-    reasons: list[str | None] = [None] * n
-
-    def strictly(k: int) -> None:
-        fields, reasons[k] = diagnose(lines[k].as_py())
-        for column, value in zip(columns, fields or ()):
-            column[k] = value
-
-    strict = pc.fill_null(pc.match_substring_regex(lines, _strict_form(len(FIELDS))), False).to_numpy(zero_copy_only=False)
-    clean: list[int] = []
-    open_ = [(0, n)]
-    while open_:
-        at, size = open_.pop()
-        if strict[at : at + size].all():
-            clean += range(at, at + size)
-        elif size > 1:
-            open_ += [(at, size // 2), (at + size // 2, size - size // 2)]
-        else:
-            strictly(at)
-    parts = [clean] if clean else []
-    while parts:
-        part = parts.pop()
-        parsed = _bulk(lines.take(pa.array(part, pa.int64())))
-        if parsed is None:
-            if len(part) == 1:
-                strictly(part[0])
-            else:
-                parts += [part[: len(part) // 2], part[len(part) // 2 :]]
-            continue
-        for column, values in zip(columns, parsed):
-            for k, value in zip(part, values.to_pylist()):
+    block: int = BLOCK
+    largest: int = BLOCK
+    strict: int = 0
+
+    def load(self, lines: pa.Array) -> tuple[list[list[str | None]], list[str | None]]:
+        """Columns of fields (null where the record is bad) and the reasons, in the order of ``lines``.
+
+        A block is parsed as a whole. One that fails is halved, and so is each failing half,
+        until single records are left; only those, and records of a parsed block with an
+        unusable value, are read strictly. Blocks grow while they parse and shrink as they
+        fail, so that few records are parsed often, whatever the share of bad ones.
+        """
+        n = len(lines)
+        columns: list[list[str | None]] = [[None] * n for _ in FIELDS]
+        reasons: list[str | None] = [None] * n
+
+        def strictly(k: int) -> None:
+            self.strict += 1
+            fields, reasons[k] = diagnose(lines[k].as_py())
+            for column, value in zip(columns, fields or [None] * len(columns)):
                 column[k] = value
-        for k, ok in zip(part, _usable(parsed).to_pylist()):
-            if not ok:
-                for column in columns:
-                    column[k] = None
-                strictly(k)
-    return columns, reasons
+
+        begin = 0
+        while begin < n:
+            size = min(self.block, n - begin)
+            open_, failed = [(begin, size)], False
+            while open_:
+                at, some = open_.pop()
+                parsed = _bulk(lines.slice(at, some))
+                if parsed is None:
+                    failed = True
+                    if some > 1:
+                        open_ += [(at, some // 2), (at + some // 2, some - some // 2)]
+                    else:
+                        strictly(at)
+                    continue
+                for column, values in zip(columns, parsed):
+                    column[at : at + some] = values.to_pylist()
+            begin += size
+            self.block = max(1, self.block // 2) if failed else min(self.largest, self.block * 2)
+        unusable = pc.fill_null(pc.invert(_usable([pa.array(c, pa.string()) for c in columns])), False)
+        for k in pc.indices_nonzero(unusable).to_pylist():
+            strictly(k)
+        return columns, reasons
 
 
 def parse_records(records: DataFrame, key: str, line: str, block: int = BLOCK) -> DataFrame:
@@ -162,13 +173,11 @@ def parse_records(records: DataFrame, key: str, line: str, block: int = BLOCK) -
     kind = records.schema[key].dataType.simpleString()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loader = Loader(block, block)
         for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                part = batch.slice(at, block)
-                raw = part.column(1)
-                lines = pc.replace_substring_regex(pa.array(raw.to_pylist(), pa.string()), r"\r\z", "")
-                columns, reasons = load_block(lines)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.string()) for c in columns), pa.array(reasons, pa.string())], [key, *FIELDS, "reason"])
+            lines = pc.replace_substring_regex(pc.fill_null(batch.column(1), "").cast(pa.string()), r"\r\z", "")
+            columns, reasons = loader.load(lines)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in columns), pa.array(reasons, pa.string())], [key, *FIELDS, "reason"])
 
     schema = f"`{key}` {kind}, " + ", ".join(f"{f} string" for f in (*FIELDS, "reason"))
     return records.select(key, line).mapInArrow(parse, schema)

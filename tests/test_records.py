@@ -1,7 +1,8 @@
 import random
 
 import pyarrow as pa
-from corpusloom.sources.records import diagnose, load_block, loaded, parse_records, rejected
+from corpusloom.sources import records
+from corpusloom.sources.records import Loader, diagnose, loaded, parse_records, rejected
 
 GOOD = ["id", "a.wav", "b.wav", "Hello", "Hola", "en", "es"]
 
@@ -43,10 +44,27 @@ def test_blocks_agree_with_strict_reading():
     lines = [*CASES, *("".join(rng.choice(alphabet) for _ in range(rng.randint(0, 25))) for _ in range(300)), *[line()] * 200, *(line(f3="".join(rng.choice(alphabet) for _ in range(4))) for _ in range(300))]
     rng.shuffle(lines)
     stripped = [x[:-1] if x.endswith("\r") else x for x in lines]
-    columns, reasons = load_block(pa.array(stripped))
-    for k, text in enumerate(stripped):
-        fields, reason = diagnose(text)
-        assert reasons[k] == reason and [c[k] for c in columns] == (fields or [None] * 7), text
+    for block in (1, 7, 512):
+        columns, reasons = Loader(block, 512).load(pa.array(stripped))
+        for k, text in enumerate(stripped):
+            fields, reason = diagnose(text)
+            assert reasons[k] == reason and [c[k] for c in columns] == (fields or [None] * 7), text
+
+
+def test_strict_reader_sees_single_bad_records_only(monkeypatch):
+    seen = []
+    monkeypatch.setattr(records, "diagnose", lambda x: seen.append(x) or diagnose(x))
+    quoted = line(f3='"He said ""hi"",\tthen\nleft"')
+    clean = [line(), quoted] * 128
+    assert Loader(256, 256).load(pa.array(clean))[1] == [None] * 256 and not seen
+    bad = [line(f3='"a" b'), line(f3='a "b"'), line() + "\t", line(f3='"open'), line(f3="NA")]
+    for k, text in enumerate(bad):
+        some = clean[:]
+        some[50 * k + 3] = text
+        seen.clear()
+        columns, reasons = Loader(256, 256).load(pa.array(some))
+        assert seen == [text] and [k for k, r in enumerate(reasons) if r] == [50 * k + 3]
+        assert columns[3][0] == "Hello" and columns[3][1] == 'He said "hi",\tthen\nleft'
 
 
 def test_spark_nulls_empty_and_extra_columns(spark):
