@@ -3,8 +3,9 @@
 Distinct scores are counted per source and those compact counts summed from the top; the
 cutoff is the highest score at which the kept fraction reaches the target. Sums go over
 ``BINS`` bins of the score range first and then over the distinct scores of the one bin
-per source in which the target is reached, so no source is gathered in one task however
-many distinct scores it has.
+per source in which the target is reached. A bin with more than ``MOST`` distinct scores
+is divided into bins again, so no source is gathered in one task however many distinct
+scores it has.
 
 A record is a distinct id; of several valid scores of one id the highest counts. Null,
 NaN and out-of-range scores are no records. A source without target, or with a null
@@ -17,9 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.staging import lookup_join, stage
+from corpusloom.staging import fits, lookup_join, stage
 
 BINS = 16_384
+MOST = 100_000
 
 
 def scored_records(scores: DataFrame, id_col: str, score_col: str, low: float, high: float, source_chars: int = 5) -> DataFrame:
@@ -33,35 +35,34 @@ def scored_records(scores: DataFrame, id_col: str, score_col: str, low: float, h
     )
 
 
-def cutoffs(records: DataFrame, targets: DataFrame, low: float, high: float, bins: int = BINS) -> DataFrame:
+def cutoffs(records: DataFrame, targets: DataFrame, low: float, high: float, bins: int = BINS, most: int = MOST) -> DataFrame:
     """(source, target, records, cutoff, kept) from (source, id, score) and (source, target)."""
-    n_bin = F.least(F.floor((F.col("score") - low) / (high - low) * bins), F.lit(bins - 1))
-    counts = stage(records.groupBy("source", "score").count().withColumn("bin", n_bin), "counts")
-    down = Window.partitionBy("source").orderBy(F.desc("bin"))
-    by_bin = counts.groupBy("source", "bin").agg(F.sum("count").alias("n"))
-    summed = by_bin.select(
-        "source",
-        "bin",
-        F.sum("n").over(down).alias("upto"),
-        (F.sum("n").over(down) - F.col("n")).alias("above"),
-        F.sum("n").over(Window.partitionBy("source")).alias("records"),
-    )
+    counts = stage(records.groupBy("source", "score").count(), "counts")
     goal = targets.filter("target is not null").groupBy("source").agg(F.max("target").alias("target"))
-    crossing = (
-        summed.join(goal, "source")
-        .filter((F.col("upto") / F.col("records") >= F.col("target")) & ((F.col("above") / F.col("records") < F.col("target")) | (F.col("above") == 0)))
-        .groupBy("source")
-        .agg(F.max(F.struct("bin", "above", "records", "target")).alias("c"))
-        .select("source", "c.*")
-    )
-    inside = Window.partitionBy("source").orderBy(F.desc("score"))
-    return (
-        counts.join(crossing, ["source", "bin"])
-        .withColumn("kept", F.col("above") + F.sum("count").over(inside))
-        .filter(F.col("kept") / F.col("records") >= F.col("target"))
-        .groupBy("source", "target", "records")
-        .agg(F.max("score").alias("cutoff"), F.min("kept").alias("kept"))
-    )
+    total = counts.groupBy("source").agg(F.sum("count").alias("records"))
+    # The scores among which a source's cutoff lies, and the number of records above them.
+    span = total.join(goal, "source").select("*", F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high"), F.lit(0).cast("bigint").alias("above"))
+    while True:
+        span = stage(span, "span")
+        inside = lookup_join(counts, span, "source").filter(F.col("score").between(F.col("low"), F.col("high")))
+        place = F.floor(F.try_divide(F.col("score") - F.col("low"), F.col("high") - F.col("low")) * bins)
+        within = inside.withColumn("bin", F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(0)))
+        by_bin = within.groupBy("source", "target", "records", "above", "bin").agg(F.sum("count").alias("n"), F.count("*").alias("scores"), F.min("score").alias("low"), F.max("score").alias("high"))
+        upto = F.col("above") + F.sum("n").over(Window.partitionBy("source").orderBy(F.desc("bin")))
+        crossing = (
+            by_bin.withColumn("upto", upto)
+            .filter(F.col("upto") / F.col("records") >= F.col("target"))
+            .groupBy("source", "target", "records")
+            .agg(F.max(F.struct("bin", "low", "high", "scores", (F.col("upto") - F.col("n")).alias("above"))).alias("c"))
+        )
+        crossing = stage(crossing.select("source", "target", "records", "c.low", "c.high", "c.above", "c.scores"), "crossing")
+        span = crossing.drop("scores")
+        if fits(crossing.filter(F.col("scores") > most), 0):
+            break
+    last = lookup_join(counts, span, "source").filter(F.col("score").between(F.col("low"), F.col("high")))
+    kept = F.col("above") + F.sum("count").over(Window.partitionBy("source").orderBy(F.desc("score")))
+    found = last.withColumn("kept", kept).filter(F.col("kept") / F.col("records") >= F.col("target"))
+    return stage(found.groupBy("source", "target", "records").agg(F.max("score").alias("cutoff"), F.min("kept").alias("kept")), "cuts")
 
 
 def kept_records(records: DataFrame, cuts: DataFrame) -> DataFrame:
