@@ -29,6 +29,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how byte-level BPE cuts a text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHARD = 20_000
+MAX_WINDOWS = 200
 
 _encoders: dict = {}
 
@@ -101,20 +102,27 @@ def best_two_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def pack(counts: DataFrame, capacities: list[tuple[str, int]], doc_id: str = "doc_id", shard: int = SHARD) -> DataFrame:
+def pack(counts: DataFrame, windows: DataFrame, doc_id: str = "doc_id", shard: int = SHARD) -> DataFrame:
     """(window_name, capacity_tokens, doc_id, n_tokens, piece_no, token_start, piece_tokens, bin_id).
 
-    ``counts`` has the id and ``n_tokens``; ``capacities`` the windows, those of null or
-    no capacity being left out. A repeated (id, size) counts once.
+    ``counts`` has the id and ``n_tokens``; ``windows`` a ``window_name`` and
+    ``capacity_tokens``, those of null or no capacity being left out. A repeated
+    (id, size), or window, counts once. Up to ``MAX_WINDOWS`` windows go into one plan;
+    more are divided by a hash into as many parts as needed.
     """
     sized = stage(counts.select(doc_id, "n_tokens").distinct(), "sized")
     shards = max(1, -(-sized.count() // shard))
     kind = sized.schema[doc_id].dataType.simpleString()
-    usable = [(str(n), int(c)) for n, c in capacities if c is not None and c > 0]
-    if not usable:
-        return sized.sparkSession.createDataFrame([], f"window_name string, capacity_tokens int, `{doc_id}` {kind}, n_tokens bigint, piece_no int, token_start bigint, piece_tokens bigint, bin_id string")
-    windows = F.array(*(F.struct(F.lit(n).alias("window_name"), F.lit(c).alias("capacity_tokens")) for n, c in usable))
-    per_window = sized.select(doc_id, "n_tokens", F.inline(windows)).withColumn("_full", F.floor(F.col("n_tokens") / F.col("capacity_tokens")).cast("int"))
+    usable = windows.filter("capacity_tokens > 0").select(F.col("window_name").cast("string").alias("window_name"), F.col("capacity_tokens").cast("int").alias("capacity_tokens")).distinct()
+    n = usable.count()
+    slices = 1 if n <= MAX_WINDOWS else -(-n * 2 // MAX_WINDOWS)
+    per_window = sized.withColumns({"window_name": F.lit(""), "capacity_tokens": F.lit(0), "_full": F.lit(0)}).filter(F.lit(False))
+    for k in range(slices):
+        own = usable.filter(F.pmod(F.xxhash64("window_name", "capacity_tokens"), F.lit(slices)) == k).orderBy("window_name", "capacity_tokens").collect()
+        if own:
+            literal = F.array(*(F.struct(F.lit(w[0]).alias("window_name"), F.lit(w[1]).alias("capacity_tokens")) for w in own))
+            full = F.floor(F.col("n_tokens") / F.col("capacity_tokens")).cast("int")
+            per_window = per_window.unionByName(sized.select(doc_id, "n_tokens", F.inline(literal)).withColumn("_full", full))
     rest = F.col("n_tokens") - F.col("_full") * F.col("capacity_tokens")
     columns = ["window_name", "capacity_tokens", doc_id, "n_tokens", "piece_no", "token_start", "piece_tokens", "bin_id"]
 
@@ -152,3 +160,19 @@ def bins(packed: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("pieces"), F.sum("piece_tokens").alias("used_tokens"))
         .select("window_name", "bin_id", "pieces", "used_tokens", F.round(F.col("used_tokens") / F.col("capacity_tokens"), 6).alias("fill"))
     )
+
+
+def faults(packed: DataFrame, counts: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """(window_name, texts, overfull, cut_though_fitting, tokens_lost): what any packing must have as 0 but for ``texts``.
+
+    Per window: the texts it covers, bins above capacity, texts in more pieces than the
+    capacity asks for, and tokens of ``counts`` that are in no piece or in two.
+    """
+    filled = packed.filter("bin_id is not null").groupBy("window_name", "capacity_tokens", "bin_id").agg(F.sum("piece_tokens").alias("used"))
+    overfull = filled.groupBy("window_name").agg(F.count_if(F.col("used") > F.col("capacity_tokens")).alias("overfull"))
+    per_text = packed.groupBy("window_name", "capacity_tokens", doc_id, "n_tokens").agg(F.count("*").alias("pieces"), F.sum("piece_tokens").alias("packed"))
+    wanted = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.col("capacity_tokens")))
+    texts = per_text.groupBy("window_name").agg(F.count("*").alias("texts"), F.count_if(F.col("pieces") > wanted).alias("cut_though_fitting"), F.sum("packed").alias("packed"))
+    total = counts.distinct().agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    lost = F.abs(F.lit(total) - F.col("packed"))
+    return texts.join(overfull, "window_name", "left").select("window_name", "texts", F.coalesce("overfull", F.lit(0)).alias("overfull"), "cut_though_fitting", lost.alias("tokens_lost"))

@@ -10,12 +10,11 @@ from corpusloom.llm.cutoff import cutoffs, kept_records, pair_spelling, scored_r
 from corpusloom.llm.duplicates import formatting_duplicates
 from corpusloom.llm.leaks import leaks
 from corpusloom.llm.overlap import split_overlap
-from corpusloom.llm.packing import bins, pack, token_counts
+from corpusloom.llm.packing import bins, faults, pack, token_counts
 from corpusloom.staging import stage, table
 
 SCORE_RANGE = (1.0, 5.0)
 RETENTION_STAGE = "After quality selection"
-MAX_WINDOWS = 100
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,10 +61,7 @@ def p5_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows = table(spark, sf_dir, "pack_windows").select("window_name", "capacity_tokens").limit(MAX_WINDOWS + 1).collect()
-    if len(windows) > MAX_WINDOWS:
-        raise ValueError(f"more than {MAX_WINDOWS} window sizes")
-    return pack(token_counts(table(spark, sf_dir, "documents")), sorted((w[0], w[1]) for w in windows))
+    return pack(token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_windows"))
 
 
 def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +80,12 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.join(full, "window_name")
 
 
+def p6_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every packing must fulfil, counted over all texts, bins and tokens."""
+    counts = stage(token_counts(table(spark, sf_dir, "documents")), "counts")
+    return faults(stage(pack(counts, table(spark, sf_dir, "pack_windows")), "packed"), counts)
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "evaluation_manifest"))
 
@@ -116,7 +118,7 @@ def p8_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_records, p2_found, p2_cutoffs, p5_found, p5_by_split, p6_packing, p6_bins, p6_fill,
+        p1_found, p1_records, p2_found, p2_cutoffs, p5_found, p5_by_split, p6_packing, p6_bins, p6_fill, p6_faults,
         p7_found, p7_items, p8_found, p8_scores, p8_by_source,
     )
 }
@@ -172,6 +174,8 @@ SQL = {
     "p5_found": _P5 + "SELECT DISTINCT least(e, t) AS id_a, greatest(e, t) AS id_b FROM p",
     "p5_by_split": _P5 + """, o AS (SELECT e, split, max(exact) AS exact FROM p GROUP BY ALL)
         SELECT split, substr(e, 1, 5) AS language_pair, count(*) AS overlapping, count(*) FILTER (exact) AS exact FROM o GROUP BY ALL""",
+    "p6_faults": """SELECT window_name, (SELECT count(*) FROM documents) AS texts, 0::BIGINT AS overfull, 0::BIGINT AS cut_though_fitting, 0::BIGINT AS tokens_lost
+        FROM (SELECT DISTINCT window_name FROM pack_windows WHERE capacity_tokens > 0)""",
     "p7_found": _P7 + "SELECT doc_id, sample_id FROM found",
     "p7_items": _P7 + "SELECT sample_id, count(*) AS documents, count(*) FILTER (q) AS question_in, count(*) FILTER (a) AS answer_in FROM found GROUP BY sample_id",
 }

@@ -3,7 +3,9 @@ import random
 
 import numpy as np
 import pytest
-from corpusloom.llm.packing import TOKENIZER, best_two_fit, bins, encoder, pack, token_counts
+from corpusloom.llm import packing
+from corpusloom.llm.packing import TOKENIZER, best_two_fit, bins, encoder, faults, pack, token_counts
+from pyspark.sql import functions as F
 
 
 def test_fill_of_random_sizes():
@@ -34,7 +36,8 @@ def test_every_token_in_one_piece(spark):
     rows = [(i, rng.choice([0, 1, 100, 101, 1000] + [rng.randint(1, 300) for _ in range(20)]), "x") for i in range(900)]
     rows += rows[:10]
     df = spark.createDataFrame(rows, "doc_id long, n_tokens long, window_name string")
-    packed = pack(df, [("a", 100), ("b", 256), ("none", None), ("zero", 0)], shard=200)
+    windows = spark.createDataFrame([("a", 100), ("b", 256), ("none", None), ("zero", 0), ("a", 100)], "window_name string, capacity_tokens int")
+    packed = pack(df, windows, shard=200)
     got = [r.asDict() for r in packed.collect()]
     size = {i: n for i, n, _ in rows}
     for window, capacity in (("a", 100), ("b", 256)):
@@ -54,7 +57,19 @@ def test_every_token_in_one_piece(spark):
         assert sum(used.values()) / (len(used) * capacity) > 0.95
     assert {r["window_name"] for r in got} == {"a", "b"}
     assert all(r["fill"] <= 1 for r in bins(packed).collect())
-    assert pack(df.limit(0), [("a", 100)]).count() == 0 and pack(df, []).count() == 0
+    assert pack(df.limit(0), windows).count() == 0 and pack(df, windows.limit(0)).count() == 0
+    want = {(w, len(size), 0, 0, 0) for w in ("a", "b")}
+    assert {tuple(r) for r in faults(packed, df.select("doc_id", "n_tokens")).collect()} == want
+    wrong = packed.withColumn("bin_id", F.lit("one")).filter("doc_id <> 3")
+    assert all(r["overfull"] and r["tokens_lost"] for r in faults(wrong, df.select("doc_id", "n_tokens")).collect())
+
+
+def test_many_windows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_WINDOWS", 3)
+    windows = spark.createDataFrame([(f"w{k}", k + 1) for k in range(10)], "window_name string, capacity_tokens int")
+    counts = spark.createDataFrame([(1, 7), (2, 3)], "doc_id long, n_tokens long")
+    got = {(r["window_name"], r["texts"], r["tokens_lost"]) for r in faults(pack(counts, windows), counts).collect()}
+    assert got == {(f"w{k}", 2, 0) for k in range(10)}
 
 
 @pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer files here")
