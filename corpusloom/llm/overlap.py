@@ -5,13 +5,14 @@ and the bag is hashed: evaluation hashes joined with training hashes give the ex
 overlaps. Almost equal bags are found between distinct bags only, one representative per
 class of equal records, and without loss: two bags with enough words in common share one
 of the first words of each, when the words of all bags are put in one fixed order, rare
-words first (prefix filter); and their 128-bit sketches differ in no more places than the
-bags may (each word flips one bit). The few pairs that pass both are checked on their
-whole bags.
+words first (prefix filter); they are joined on that word and a level of their sizes; from
+that word on enough words are left; and their 128-bit sketches differ in no more places
+than the bags may (each word flips one bit). The few pairs that pass all are checked on
+their whole bags. Frequent words and classes are split on both sides of their joins.
 
 The order of words uses the ``ORDERED_WORDS`` most frequent words of all rows, a bounded
 broadcast; all others count as rare and are ordered by their hash. Any order is lossless;
-this one keeps the candidates few. Members are expanded only at the end, by lookup joins.
+this one keeps the candidates few. Members are expanded only at the end.
 
 Rows with a text that is null or without letter or digit take no part, nor do rows of no
 known split; repeated rows of one id count once. Other columns are ignored.
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.text import has_words, words
-from corpusloom.staging import stage
+from corpusloom.staging import grid_join, lookup_join, stage
 
 ORDERED_WORDS = 20_000
 PERCENT = 85
@@ -81,9 +82,8 @@ def _bags(rows: DataFrame, rank: dict[str, int], percent: int) -> DataFrame:
                 found = sorted([*words(src), *words(tgt)])
                 bags.append(_digest(found))
                 sizes.append(len(found))
-                # Later occurrences are rarer than the first; rare words have the rank -1.
-                ordered = sorted(keyed(found, ranks), key=lambda x: (x[0], -x[1], x[2]))
-                tokens = [token(w, k) for _, k, w in ordered]
+                # Later occurrences are rarer than the first; rare words have the rank -1 and go by their hash.
+                tokens = [t for _, _, t in sorted((r, -k, token(w, k)) for r, k, w in keyed(found, ranks))]
                 prefixes.append(tokens[: prefix_length(len(found), percent)])
                 halves = sketch(tokens)
                 high.append(halves[0])
@@ -114,20 +114,39 @@ class Overlap:
     exact: DataFrame  # bag: classes in both splits
     near: DataFrame  # eval_bag, train_bag, common, longer
 
+    def _links(self) -> DataFrame:
+        """(eval_bag, train_bag, exact): classes that overlap."""
+        same = self.exact.select(F.col("bag").alias("eval_bag"), F.col("bag").alias("train_bag"), F.lit(True).alias("exact"))
+        return same.unionByName(self.near.select("eval_bag", "train_bag", F.lit(False).alias("exact")))
+
     def pairs(self) -> DataFrame:
-        """(eval_id, train_id, eval_split, exact) of all overlapping rows."""
+        """(eval_id, train_id, eval_split, exact) of all overlapping rows; classes with many members are split on both sides."""
         evaluation = self.members.filter(F.col("split").isin(*EVALUATION)).select(F.col("bag").alias("eval_bag"), F.col("id").alias("eval_id"), F.col("split").alias("eval_split"))
         training = self.members.filter(F.col("split") == TRAINING).select(F.col("bag").alias("train_bag"), F.col("id").alias("train_id"))
-        classes = self.exact.select(F.col("bag").alias("eval_bag"), F.col("bag").alias("train_bag"), F.lit(True).alias("exact")).unionByName(
-            self.near.select("eval_bag", "train_bag", F.lit(False).alias("exact"))
+        linked = stage(grid_join(evaluation, self._links(), "eval_bag").drop("eval_bag"), "linked")
+        return grid_join(linked, training, "train_bag").filter("eval_id <> train_id").select("eval_id", "train_id", "eval_split", "exact")
+
+    def records(self) -> DataFrame:
+        """(id, split, class_id, links): every row with its class of equal records, named by the smallest id, and its links.
+
+        The links of an evaluation row are the classes with training rows that overlap it,
+        those of a training row the classes with evaluation rows; its own may be among them.
+        """
+        links = self._links()
+        counts = (
+            links.groupBy(F.col("eval_bag").alias("bag"))
+            .agg(F.count("*").alias("as_eval"))
+            .join(links.groupBy(F.col("train_bag").alias("bag")).agg(F.count("*").alias("as_train")), "bag", "full")
         )
-        return evaluation.join(classes, "eval_bag").join(training, "train_bag").filter("eval_id <> train_id").select("eval_id", "train_id", "eval_split", "exact")
+        named = self.members.groupBy("bag").agg(F.min("id").alias("class_id"), F.count("*").alias("members"))
+        classes = stage(named.join(counts, "bag", "left"), "named")
+        links_of = F.when(F.col("split") == TRAINING, F.col("as_train")).otherwise(F.col("as_eval"))
+        return lookup_join(self.members, classes, "bag", weight="members").select("id", "split", "class_id", F.coalesce(links_of, F.lit(0)).alias("links"))
 
     def overlapping_evaluation(self) -> DataFrame:
         """(id, split, exact): each evaluation row that overlaps, without expanding pairs."""
-        found = self.exact.select("bag", F.lit(True).alias("exact")).unionByName(self.near.select(F.col("eval_bag").alias("bag"), F.lit(False).alias("exact")))
-        classes = found.groupBy("bag").agg(F.max("exact").alias("exact"))
-        return self.members.filter(F.col("split").isin(*EVALUATION)).join(classes, "bag").groupBy("id", "split").agg(F.max("exact").alias("exact"))
+        classes = stage(self._links().groupBy(F.col("eval_bag").alias("bag")).agg(F.max("exact").alias("exact")), "overlapping")
+        return lookup_join(self.members.filter(F.col("split").isin(*EVALUATION)), classes, "bag").groupBy("id", "split").agg(F.max("exact").alias("exact"))
 
 
 def clean_split(split: Column) -> Column:
@@ -156,16 +175,21 @@ def split_overlap(rows: DataFrame, id_col: str = "sample_id", src: str = "src_te
     classes = stage(groups.join(bags.drop("bag"), "row").withColumnRenamed("row", "class"), "classes")
     exact = classes.filter("in_eval and in_train").select("bag")
 
-    def firsts(side: str, name: str) -> DataFrame:
-        return classes.filter(side).select(F.explode("prefix").alias("token"), *[F.col(c).alias(f"{name}_{c}") for c in ("class", "n", "high", "low")])
+    # Sizes that are near enough lie in the same or in neighbouring levels.
+    level = F.floor(F.log("n") / max(1.01 * math.log(100 / percent), 0.001)) if percent < 100 else F.col("n")
+
+    def firsts(side: str, name: str, levels: Column) -> DataFrame:
+        at = classes.filter(side).select("*", F.posexplode("prefix").alias("at", "token"), F.explode(levels).alias("level"))
+        return at.select(F.xxhash64("token", "level").alias("key"), *[F.col(c).alias(f"{name}_{c}") for c in ("class", "n", "high", "low", "at")])
 
     longer, shorter = F.greatest("eval_n", "train_n"), F.least("eval_n", "train_n")
     least = F.ceil(longer * percent / 100)
     differing = F.bit_count(F.col("eval_high").bitwiseXOR(F.col("train_high"))) + F.bit_count(F.col("eval_low").bitwiseXOR(F.col("train_low")))
+    # From the first word in common on, no more words can be in common than either bag has left.
+    left_over = F.least(F.col("eval_n") - F.col("eval_at"), F.col("train_n") - F.col("train_at"))
     candidates = (
-        firsts("in_eval", "eval")
-        .join(firsts("in_train", "train"), "token")
-        .filter((shorter * 100 >= longer * percent) & (F.col("eval_class") != F.col("train_class")) & (differing <= F.col("eval_n") + F.col("train_n") - 2 * least))
+        grid_join(firsts("in_eval", "eval", F.array(level - 1, level, level + 1)), firsts("in_train", "train", F.array(level)), "key")
+        .filter((shorter * 100 >= longer * percent) & (left_over >= least) & (F.col("eval_class") != F.col("train_class")) & (differing <= F.col("eval_n") + F.col("train_n") - 2 * least))
         .select("eval_class", "train_class", longer.alias("longer"))
         .distinct()
     )
@@ -174,9 +198,9 @@ def split_overlap(rows: DataFrame, id_col: str = "sample_id", src: str = "src_te
     wanted = stage(wanted, "wanted")
     whole = _tokens(taken.join(wanted.select("id", "split"), ["id", "split"], "left_semi")).join(wanted.select("class", "bag"), "bag").groupBy("class", "bag").agg(F.first("tokens").alias("tokens"))
     whole = stage(whole, "whole")
+    half = stage(grid_join(candidates, whole.toDF("eval_class", "eval_bag", "a"), "eval_class").drop("eval_class"), "half")
     near = (
-        candidates.join(whole.toDF("eval_class", "eval_bag", "a"), "eval_class")
-        .join(whole.toDF("train_class", "train_bag", "b"), "train_class")
+        grid_join(half, whole.toDF("train_class", "train_bag", "b"), "train_class")
         .withColumn("common", F.size(F.array_intersect("a", "b")))
         .filter(F.col("common") * 100 >= F.col("longer") * percent)
         .select("eval_bag", "train_bag", "common", "longer")

@@ -54,6 +54,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.least("eval_id", "train_id").alias("id_a"), F.greatest("eval_id", "train_id").alias("id_b")).distinct()
 
 
+def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its class of equal records and the number of classes of the other side that it overlaps."""
+    return _overlap(spark, sf_dir).records().select(F.col("id").alias("sample_id"), "split", "class_id", "links")
+
+
 def p5_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping evaluation rows per split and language pair."""
     rows = _overlap(spark, sf_dir).overlapping_evaluation()
@@ -118,7 +123,7 @@ def p8_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_records, p2_found, p2_cutoffs, p5_found, p5_by_split, p6_packing, p6_bins, p6_fill, p6_faults,
+        p1_found, p1_records, p2_found, p2_cutoffs, p5_found, p5_records, p5_by_split, p6_packing, p6_bins, p6_fill, p6_faults,
         p7_found, p7_items, p8_found, p8_scores, p8_by_source,
     )
 }
@@ -172,6 +177,12 @@ SQL = {
     "p2_found": _P2 + "SELECT language_pair, sample_id FROM r JOIN c USING (language_pair) WHERE score >= cutoff",
     "p2_cutoffs": _P2 + "SELECT *, round(kept::DOUBLE / records, 9) AS kept_share FROM c",
     "p5_found": _P5 + "SELECT DISTINCT least(e, t) AS id_a, greatest(e, t) AS id_b FROM p",
+    "p5_records": _P5 + """, link AS (
+          SELECT DISTINCT a.bag AS e, b.bag AS t FROM (SELECT e.sample_id AS e, e.split, t.sample_id AS t, count(*) AS common FROM t e JOIN t ON e.word = t.word AND e.k = t.k WHERE e.split <> 'train' AND t.split = 'train' GROUP BY ALL) c
+          JOIN n a ON a.sample_id = c.e AND a.split = c.split JOIN n b ON b.sample_id = c.t AND b.split = 'train' WHERE common * 100 >= greatest(a.n, b.n) * 85),
+        side AS (SELECT e AS bag, false AS train, count(*) AS links FROM link GROUP BY 1 UNION ALL SELECT t, true, count(*) FROM link GROUP BY 1),
+        cls AS (SELECT bag, min(sample_id) AS class_id FROM n GROUP BY bag)
+        SELECT DISTINCT n.sample_id, n.split, class_id, coalesce(links, 0)::BIGINT AS links FROM n JOIN cls ON cls.bag = n.bag LEFT JOIN side ON side.bag = n.bag AND side.train = (n.split = 'train')""",
     "p5_by_split": _P5 + """, o AS (SELECT e, split, max(exact) AS exact FROM p GROUP BY ALL)
         SELECT split, substr(e, 1, 5) AS language_pair, count(*) AS overlapping, count(*) FILTER (exact) AS exact FROM o GROUP BY ALL""",
     "p6_faults": """SELECT window_name, (SELECT count(*) FROM documents) AS texts, 0::BIGINT AS overfull, 0::BIGINT AS cut_though_fitting, 0::BIGINT AS tokens_lost
