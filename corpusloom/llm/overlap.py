@@ -8,7 +8,8 @@ of the first words of each, when the words of all bags are put in one fixed orde
 words first (prefix filter); they are joined on that word and a level of their sizes; from
 that word on enough words are left; and their 128-bit sketches differ in no more places
 than the bags may (each word flips one bit). The few pairs that pass all are checked on
-their whole bags. Frequent words and classes are split on both sides of their joins.
+their whole bags. Bags of up to ``PAIRED`` words are joined on two words in common, for
+single words grow frequent with the rows; longer ones, and those near them in size, on one. Frequent words and classes are split on both sides of their joins.
 
 The order of words uses the ``ORDERED_WORDS`` most frequent words of all rows, a bounded
 broadcast; all others count as rare and are ordered by their hash. Any order is lossless;
@@ -23,6 +24,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from hashlib import md5
 
 import pyarrow as pa
@@ -35,6 +37,7 @@ from corpusloom.staging import grid_join, lookup_join, stage
 
 ORDERED_WORDS = 20_000
 PERCENT = 85
+PAIRED = 128
 EVALUATION, TRAINING = ("dev", "test"), "train"
 SKETCH_BITS = 128
 
@@ -44,8 +47,9 @@ def token(word: str, k: int) -> int:
     return xxhash.xxh3_64_intdigest(f"{word}\x01{k}") - (1 << 63)
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - math.ceil(n * percent / 100 - 1e-9) + 1
+def prefix_length(n: int, percent: int, common: int = 2) -> int:
+    """How many first words must hold ``common`` words of any bag that is near enough."""
+    return min(n, n - math.ceil(n * percent / 100 - 1e-9) + common)
 
 
 def sketch(tokens: list[int]) -> tuple[int, int]:
@@ -153,7 +157,7 @@ def clean_split(split: Column) -> Column:
     return F.lower(F.trim(split))
 
 
-def split_overlap(rows: DataFrame, id_col: str = "sample_id", src: str = "src_text", tgt: str = "tgt_text", split: str = "split", percent: int = PERCENT, ordered_words: int = ORDERED_WORDS) -> Overlap:
+def split_overlap(rows: DataFrame, id_col: str = "sample_id", src: str = "src_text", tgt: str = "tgt_text", split: str = "split", percent: int = PERCENT, ordered_words: int = ORDERED_WORDS, paired: int = PAIRED) -> Overlap:
     taken = rows.select(F.col(id_col).alias("id"), clean_split(F.col(split)).alias("split"), F.col(src).alias("src"), F.col(tgt).alias("tgt")).filter(
         F.col("id").isNotNull() & F.col("split").isin(TRAINING, *EVALUATION) & has_words(F.col("src")) & has_words(F.col("tgt"))
     )
@@ -179,14 +183,17 @@ def split_overlap(rows: DataFrame, id_col: str = "sample_id", src: str = "src_te
     level = F.floor(F.log("n") / max(1.01 * math.log(100 / percent), 0.001)) if percent < 100 else F.col("n")
 
     def firsts(side: str, name: str, levels: Column) -> DataFrame:
-        at = classes.filter(side).select("*", F.posexplode("prefix").alias("at", "token"), F.explode(levels).alias("level"))
-        return at.select(F.xxhash64("token", "level").alias("key"), *[F.col(c).alias(f"{name}_{c}") for c in ("class", "n", "high", "low", "at")])
+        at = classes.filter(side).select("*", F.explode(levels).alias("level"))
+        first = at.select("*", F.posexplode("prefix").alias("i", "a"))
+        second = first.filter(F.col("n") <= paired).select("*", F.posexplode("prefix").alias("at", "b")).filter("i < at").withColumn("left", F.col("n") - F.col("at") + 1)
+        alone = first.filter((F.col("n") * 100 >= paired * percent) & (F.col("i") < F.size("prefix") - 1)).withColumns({"b": F.lit(0).cast("bigint"), "left": F.col("n") - F.col("i")})
+        return reduce(DataFrame.unionByName, [x.select(F.xxhash64("a", "b", "level").alias("key"), *[F.col(c).alias(f"{name}_{c}") for c in ("class", "n", "high", "low", "left")]) for x in (second, alone)])
 
     longer, shorter = F.greatest("eval_n", "train_n"), F.least("eval_n", "train_n")
     least = F.ceil(longer * percent / 100)
     differing = F.bit_count(F.col("eval_high").bitwiseXOR(F.col("train_high"))) + F.bit_count(F.col("eval_low").bitwiseXOR(F.col("train_low")))
-    # From the first word in common on, no more words can be in common than either bag has left.
-    left_over = F.least(F.col("eval_n") - F.col("eval_at"), F.col("train_n") - F.col("train_at"))
+    # From the first words in common on, no more words can be in common than either bag has left.
+    left_over = F.least("eval_left", "train_left")
     candidates = (
         grid_join(firsts("in_eval", "eval", F.array(level - 1, level, level + 1)), firsts("in_train", "train", F.array(level)), "key")
         .filter((shorter * 100 >= longer * percent) & (left_over >= least) & (F.col("eval_class") != F.col("train_class")) & (differing <= F.col("eval_n") + F.col("train_n") - 2 * least))
