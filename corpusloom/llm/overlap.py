@@ -8,8 +8,9 @@ of the first words of each, when the words of all bags are put in one fixed orde
 words first (prefix filter); they are joined on that word and a level of their sizes; from
 that word on enough words are left; and their 128-bit sketches differ in no more places
 than the bags may (each word flips one bit). The few pairs that pass all are checked on
-their whole bags. Bags of up to ``PAIRED`` words are joined on two words in common, for
-single words grow frequent with the rows; longer ones, and those near them in size, on one. Frequent words and classes are split on both sides of their joins.
+their whole bags. A word that is among the first of more than ``FREQUENT`` classes is
+joined together with a second word in common, as single words grow frequent with the rows;
+in bags of more than ``PAIRED`` words, and those near them in size, it is joined alone. Frequent words and classes are split on both sides of their joins.
 
 The order of words uses the ``ORDERED_WORDS`` most frequent words of all rows, a bounded
 broadcast; all others count as rare and are ordered by their hash. Any order is lossless;
@@ -38,6 +39,7 @@ from corpusloom.staging import grid_join, lookup_join, stage
 ORDERED_WORDS = 20_000
 PERCENT = 85
 PAIRED = 128
+FREQUENT, MAX_FREQUENT = 20, 50_000
 EVALUATION, TRAINING = ("dev", "test"), "train"
 SKETCH_BITS = 128
 
@@ -157,7 +159,7 @@ def clean_split(split: Column) -> Column:
     return F.lower(F.trim(split))
 
 
-def split_overlap(rows: DataFrame, id_col: str = "sample_id", src: str = "src_text", tgt: str = "tgt_text", split: str = "split", percent: int = PERCENT, ordered_words: int = ORDERED_WORDS, paired: int = PAIRED) -> Overlap:
+def split_overlap(rows: DataFrame, id_col: str = "sample_id", src: str = "src_text", tgt: str = "tgt_text", split: str = "split", percent: int = PERCENT, ordered_words: int = ORDERED_WORDS, paired: int = PAIRED, frequent: int = FREQUENT) -> Overlap:
     taken = rows.select(F.col(id_col).alias("id"), clean_split(F.col(split)).alias("split"), F.col(src).alias("src"), F.col(tgt).alias("tgt")).filter(
         F.col("id").isNotNull() & F.col("split").isin(TRAINING, *EVALUATION) & has_words(F.col("src")) & has_words(F.col("tgt"))
     )
@@ -182,12 +184,25 @@ def split_overlap(rows: DataFrame, id_col: str = "sample_id", src: str = "src_te
     # Sizes that are near enough lie in the same or in neighbouring levels.
     level = F.floor(F.log("n") / max(1.01 * math.log(100 / percent), 0.001)) if percent < 100 else F.col("n")
 
-    def firsts(side: str, name: str, levels: Column) -> DataFrame:
-        at = classes.filter(side).select("*", F.explode(levels).alias("level"))
-        first = at.select("*", F.posexplode("prefix").alias("i", "a"))
-        second = first.filter(F.col("n") <= paired).select("*", F.posexplode("prefix").alias("at", "b")).filter("i < at").withColumn("left", F.col("n") - F.col("at") + 1)
-        alone = first.filter((F.col("n") * 100 >= paired * percent) & (F.col("i") < F.size("prefix") - 1)).withColumns({"b": F.lit(0).cast("bigint"), "left": F.col("n") - F.col("i")})
-        return reduce(DataFrame.unionByName, [x.select(F.xxhash64("a", "b", "level").alias("key"), *[F.col(c).alias(f"{name}_{c}") for c in ("class", "n", "high", "low", "left")]) for x in (second, alone)])
+    own = {"train": F.array(level), "eval": F.array(level - 1, level, level + 1)}
+
+    def singles(side: str) -> DataFrame:
+        """The first words of one side's classes, without the one more that pairs of words need."""
+        at = classes.filter(f"in_{side}").select("*", F.explode(own[side]).alias("level"))
+        return at.select("*", F.posexplode("prefix").alias("at", "word")).filter(F.col("at") < F.size("prefix") - 1).withColumn("key", F.xxhash64("word", "level"))
+
+    hot = reduce(DataFrame.unionByName, [singles(s).groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > frequent) for s in own])
+    hot = stage(hot.groupBy("key").agg(F.max("rows").alias("rows")).orderBy(F.desc("rows"), "key").limit(MAX_FREQUENT).select("key"), "frequent").withColumn("hot", F.lit(True))
+
+    def firsts(side: str) -> DataFrame:
+        marked = singles(side).join(F.broadcast(hot), "key", "left")
+        alone = F.col("hot").isNull() | (F.col("n") * 100 >= paired * percent)
+        further = F.transform(F.slice("prefix", F.col("at") + 2, F.size("prefix")), lambda w, k: F.struct(F.xxhash64("key", w).alias("key"), (F.col("n") - F.col("at") - k).alias("left")))
+        keys = F.concat(
+            F.when(alone, F.array(F.struct("key", (F.col("n") - F.col("at")).alias("left")))).otherwise(F.array()),
+            F.when(F.col("hot").isNotNull() & (F.col("n") <= paired), further).otherwise(F.array()),
+        )
+        return marked.select(F.explode(keys).alias("k"), *[F.col(c).alias(f"{side}_{c}") for c in ("class", "n", "high", "low")]).select("k.key", F.col("k.left").alias(f"{side}_left"), *[f"{side}_{c}" for c in ("class", "n", "high", "low")])
 
     longer, shorter = F.greatest("eval_n", "train_n"), F.least("eval_n", "train_n")
     least = F.ceil(longer * percent / 100)
@@ -195,7 +210,7 @@ def split_overlap(rows: DataFrame, id_col: str = "sample_id", src: str = "src_te
     # From the first words in common on, no more words can be in common than either bag has left.
     left_over = F.least("eval_left", "train_left")
     candidates = (
-        grid_join(firsts("in_eval", "eval", F.array(level - 1, level, level + 1)), firsts("in_train", "train", F.array(level)), "key")
+        grid_join(firsts("eval"), firsts("train"), "key")
         .filter((shorter * 100 >= longer * percent) & (left_over >= least) & (F.col("eval_class") != F.col("train_class")) & (differing <= F.col("eval_n") + F.col("train_n") - 2 * least))
         .select("eval_class", "train_class", longer.alias("longer"))
         .distinct()

@@ -43,7 +43,7 @@ def test_against_brute_force(spark):
         a, b = " ".join(t[:cut]), "; ".join(t[cut:])
         rows.append((f"id{n:04}", rng.choice([a, a.upper()]), b, rng.choice(["train"] * 4 + [" Train", "dev ", "TEST", None]), 1))
     rows += rows[:30] + [("n1", None, "x", "train", 1), ("n2", "...", "x", "dev", 1), ("n3", "x", "y", "dev", 1), ("n4", "Y", "x!", "train", 1), ("n5", "long " * 50_000, "x", "dev", 1)]
-    for k in ({}, {"ordered_words": 5, "paired": 12}, {"paired": 0}):
+    for k in ({}, {"ordered_words": 5, "paired": 12, "frequent": 3}, {"frequent": 0}):
         got, o = found(spark, rows, **k)
         assert got == brute(rows)
         ids = {r["id"] for r in o.overlapping_evaluation().collect()}
