@@ -56,19 +56,21 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, weight: str | None
     return rows.withColumn("_salt", spread).join(salted, [key, "_salt"]).drop("_salt")
 
 
-def grid_join(left: DataFrame, right: DataFrame, key: str, max_rows: int = 20_000, max_keys: int = 50_000) -> DataFrame:
+def grid_join(left: DataFrame, right: DataFrame, key: str, max_rows: int = 20_000, max_keys: int = 50_000, unique: bool = False) -> DataFrame:
     """Inner join on ``key``, of which either side may hold a third of its rows.
 
     A key with more than ``max_rows`` rows on a side is cut there into parts of about that
     size, and the other side's rows go to each of them, so a task gets a cell of the grid
     of both sides' parts. The ``max_keys`` heaviest such keys are broadcast with their
     numbers of parts; of the others none holds more than one row in ``max_keys``.
+    ``unique`` says that ``right`` has one row per key and needn't be counted.
     """
 
     def parts(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > max_rows).select(key, F.ceil(F.col("_n") / max_rows).cast("int").alias(name))
 
-    heavy = parts(left, "_l").join(parts(right, "_r"), key, "full").select(key, F.coalesce("_l", F.lit(1)).alias("_l"), F.coalesce("_r", F.lit(1)).alias("_r"))
+    both = parts(left, "_l").withColumn("_r", F.lit(1)) if unique else parts(left, "_l").join(parts(right, "_r"), key, "full")
+    heavy = both.select(key, F.coalesce("_l", F.lit(1)).alias("_l"), F.coalesce("_r", F.lit(1)).alias("_r"))
     heavy = stage(heavy.orderBy(F.desc(F.greatest("_l", "_r")), key).limit(max_keys), "grid")
     if fits(heavy, 0):
         return left.join(right, key)

@@ -9,3 +9,6 @@ def test_hot_keys_on_either_side(spark):
         for keys in (1, 50):
             assert sorted(map(tuple, grid_join(left, right, "key", size, keys).collect())) == want
     assert grid_join(left.limit(0), right, "key", 2).count() == 0
+    one = right.groupBy("key").agg({"b": "max"}).toDF("key", "b")
+    want = sorted(map(tuple, left.join(one, "key").collect()))
+    assert sorted(map(tuple, grid_join(left, one, "key", 3, unique=True).collect())) == want
