@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.text import has_words, words
-from corpusloom.staging import grid_join, lookup_join, stage
+from corpusloom.staging import fits, grid_join, lookup_join, stage
 
 ORDERED_WORDS = 20_000
 PERCENT = 85
@@ -186,23 +186,34 @@ def split_overlap(rows: DataFrame, id_col: str = "sample_id", src: str = "src_te
 
     own = {"train": F.array(level), "eval": F.array(level - 1, level, level + 1)}
 
-    def singles(side: str) -> DataFrame:
+    words_of = ("class", "n", "high", "low")
+
+    def singles(side: str, *more: str) -> DataFrame:
         """The first words of one side's classes, without the one more that pairs of words need."""
-        at = classes.filter(f"in_{side}").select("*", F.explode(own[side]).alias("level"))
-        return at.select("*", F.posexplode("prefix").alias("at", "word")).filter(F.col("at") < F.size("prefix") - 1).withColumn("key", F.xxhash64("word", "level"))
+        at = classes.filter(f"in_{side}").select(*words_of, "prefix", F.explode(own[side]).alias("level"))
+        first = at.select(*words_of, *more, "level", F.posexplode(F.slice("prefix", F.lit(1), F.size("prefix") - 1)).alias("at", "word"))
+        return first.withColumn("key", F.xxhash64("word", "level"))
 
     hot = reduce(DataFrame.unionByName, [singles(s).groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > frequent) for s in own])
-    hot = stage(hot.groupBy("key").agg(F.max("rows").alias("rows")).orderBy(F.desc("rows"), "key").limit(MAX_FREQUENT).select("key"), "frequent").withColumn("hot", F.lit(True))
+    hot = stage(hot.groupBy("key").agg(F.max("rows").alias("rows")).orderBy(F.desc("rows"), "key").limit(MAX_FREQUENT).select("key"), "frequent")
+
+    def named(rows: DataFrame, side: str, key: str = "key", left: Column | None = None) -> DataFrame:
+        over = F.col("n") - F.col("at") if left is None else left
+        return rows.select(F.col(key).alias("key"), over.alias(f"{side}_left"), *[F.col(c).alias(f"{side}_{c}") for c in words_of])
+
+    def rare(side: str) -> DataFrame:
+        return named(singles(side).join(F.broadcast(hot), "key", "left_anti"), side)
 
-    def firsts(side: str) -> DataFrame:
-        marked = singles(side).join(F.broadcast(hot), "key", "left")
-        alone = F.col("hot").isNull() | (F.col("n") * 100 >= paired * percent)
+    def paired_up(side: str) -> DataFrame:
+        """Frequent words with each further word; alone in long bags and those near them in size."""
+        marked = singles(side, "prefix").join(F.broadcast(hot), "key")
         further = F.transform(F.slice("prefix", F.col("at") + 2, F.size("prefix")), lambda w, k: F.struct(F.xxhash64("key", w).alias("key"), (F.col("n") - F.col("at") - k).alias("left")))
-        keys = F.concat(
-            F.when(alone, F.array(F.struct("key", (F.col("n") - F.col("at")).alias("left")))).otherwise(F.array()),
-            F.when(F.col("hot").isNotNull() & (F.col("n") <= paired), further).otherwise(F.array()),
-        )
-        return marked.select(F.explode(keys).alias("k"), *[F.col(c).alias(f"{side}_{c}") for c in ("class", "n", "high", "low")]).select("k.key", F.col("k.left").alias(f"{side}_left"), *[f"{side}_{c}" for c in ("class", "n", "high", "low")])
+        pairs = marked.filter(F.col("n") <= paired).select(*words_of, F.explode(further).alias("k"))
+        return named(pairs, side, "k.key", F.col("k.left")).unionByName(named(marked.filter(F.col("n") * 100 >= paired * percent), side))
+
+    joined = rare("eval").join(rare("train"), "key")
+    if not fits(hot, 0):
+        joined = joined.unionByName(grid_join(paired_up("eval"), paired_up("train"), "key"))
 
     longer, shorter = F.greatest("eval_n", "train_n"), F.least("eval_n", "train_n")
     least = F.ceil(longer * percent / 100)
@@ -210,8 +221,7 @@ def split_overlap(rows: DataFrame, id_col: str = "sample_id", src: str = "src_te
     # From the first words in common on, no more words can be in common than either bag has left.
     left_over = F.least("eval_left", "train_left")
     candidates = (
-        grid_join(firsts("eval"), firsts("train"), "key")
-        .filter((shorter * 100 >= longer * percent) & (left_over >= least) & (F.col("eval_class") != F.col("train_class")) & (differing <= F.col("eval_n") + F.col("train_n") - 2 * least))
+        joined.filter((shorter * 100 >= longer * percent) & (left_over >= least) & (F.col("eval_class") != F.col("train_class")) & (differing <= F.col("eval_n") + F.col("train_n") - 2 * least))
         .select("eval_class", "train_class", longer.alias("longer"))
         .distinct()
     )
@@ -220,9 +230,9 @@ def split_overlap(rows: DataFrame, id_col: str = "sample_id", src: str = "src_te
     wanted = stage(wanted, "wanted")
     whole = _tokens(taken.join(wanted.select("id", "split"), ["id", "split"], "left_semi")).join(wanted.select("class", "bag"), "bag").groupBy("class", "bag").agg(F.first("tokens").alias("tokens"))
     whole = stage(whole, "whole")
-    half = stage(grid_join(candidates, whole.toDF("eval_class", "eval_bag", "a"), "eval_class").drop("eval_class"), "half")
+    half = stage(grid_join(candidates, whole.toDF("eval_class", "eval_bag", "a"), "eval_class", unique=True).drop("eval_class"), "half")
     near = (
-        grid_join(half, whole.toDF("train_class", "train_bag", "b"), "train_class")
+        grid_join(half, whole.toDF("train_class", "train_bag", "b"), "train_class", unique=True)
         .withColumn("common", F.size(F.array_intersect("a", "b")))
         .filter(F.col("common") * 100 >= F.col("longer") * percent)
         .select("eval_bag", "train_bag", "common", "longer")
