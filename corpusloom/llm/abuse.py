@@ -9,14 +9,16 @@ labelled documents that the dictionaries compared have not seen.
 Labels say only that a document holds such a passage, and some are wrong. The passages
 for the abusive dictionary are cut from windows of flagged documents with several word
 pairs that are far more frequent in flagged documents than in others: from the first to
-the last such pair. The ordinary dictionary takes the windows of other documents that
-have no such pair; those among them that a first pair of dictionaries finds abusive are
-given more weight in a second training. Words are compared after disguises are undone:
+the last such pair. From a flagged document without such a window those are taken that
+are novel: half of the unflagged documents make a dictionary with which they stay longer
+than any window of ``NOVEL`` of the other half. The ordinary dictionary takes the windows
+of other documents that have no such pair; those among them that a first pair of
+dictionaries finds abusive are given more weight in a second training. Words are compared after disguises are undone:
 case, zero-width characters, digits and signs for letters, letters set apart or repeated.
 
 The fit takes at most ``MAX_LABELLED`` labelled documents, chosen by a hash of their id,
-of at most ``MAX_LABELLED_CHARS`` characters each, and all of their windows; every document is scored, and every
-window of it. Documents whose labels disagree, or have none, are no examples. Without
+of at most ``MAX_LABELLED_CHARS`` characters each, and all of their windows (at this bound
+2.4 GB and 160 s on the driver); every document is scored, and every window of it. Documents whose labels disagree, or have none, are no examples. Without
 enough examples of both kinds nothing can be told: all scores are null. Null, blank or
 wordless texts have a null score and are not flagged.
 """
@@ -28,7 +30,7 @@ import random
 import re
 import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -38,7 +40,10 @@ from pyspark.sql import functions as F
 
 MAX_LABELLED = 6_000
 MAX_LABELLED_CHARS = 20_000
-CALIBRATION_SHARE = 4
+#: Parts of the labelled documents, of which one at a time is held out until so many flagged ones were scored.
+CALIBRATION_SHARE, CALIBRATION_FLAGGED = 4, 150
+#: Share of ordinary documents without a window that counts as novel.
+NOVEL = 0.95
 WINDOW, STEP = 10, 4
 DICTIONARY_BYTES = 256 * 1024
 LEVEL = 3
@@ -151,10 +156,21 @@ def score(text: str | None, abusive: zstandard.ZstdCompressor, ordinary: zstanda
     return best
 
 
+def _novelty(documents: list[list[str]]) -> tuple[Callable[[bytes], bytes], int] | None:
+    """A compressor made from half of these documents, and the length that few of the others have a window of."""
+    half = [w for words in documents[::2] for w in windows(words)]
+    if not half or len(documents) < 2:
+        return None
+    compress = Model(content := _dictionary(half), content).compressors()[0].compress
+    longest = sorted(max((len(compress(w.encode())) for w in windows(words)), default=0) for words in documents[1::2])
+    return compress, longest[min(len(longest) - 1, int(len(longest) * NOVEL))]
+
+
 def _train(documents: list[list[str]], labels: list[int]) -> Model | None:
     odds = _pair_odds(documents, labels)
-    abusive, ordinary = [], []
+    abusive, ordinary, untold = [], [], []
     for words, label in zip(documents, labels):
+        before = len(abusive)
         for window in windows(words):
             w = window.split()
             each = [odds.get(p, -9.0) for p in zip(w, w[1:])]
@@ -163,6 +179,11 @@ def _train(documents: list[list[str]], labels: list[int]) -> Model | None:
             elif label and sum(x > TELLING for x in each) > 2:
                 at = [i for i, x in enumerate(each) if x > SUSPECT]
                 abusive.append(" ".join(w[at[0] : at[-1] + 2]))
+        if label and len(abusive) == before:
+            untold.append(words)
+    if untold and (novelty := _novelty([words for words, label in zip(documents, labels) if not label])):
+        compress, cut = novelty
+        abusive += [w for words in untold for w in windows(words) if len(compress(w.encode())) >= cut]
     if not abusive or not ordinary:
         return None
     shuffled = random.Random(7)
@@ -190,13 +211,17 @@ def fit(examples: list[tuple[str, int]]) -> Model | None:
     """A model of (text, label) examples in a fixed order, or None if they are too few."""
     words = [[sys.intern(w) for w in plain_words(t)] for t, _ in examples]
     labels = [y for _, y in examples]
-    held = range(0, len(examples), CALIBRATION_SHARE)
-    rest = [k for k in range(len(examples)) if k % CALIBRATION_SHARE]
-    trial, final = _train([words[k] for k in rest], [labels[k] for k in rest]), _train(words, labels)
-    if trial is None or final is None:
+    final = _train(words, labels)
+    scores: list[tuple[int, int]] = []
+    for fold in range(CALIBRATION_SHARE):
+        trial = _train([w for k, w in enumerate(words) if k % CALIBRATION_SHARE != fold], [y for k, y in enumerate(labels) if k % CALIBRATION_SHARE != fold])
+        if trial is not None:
+            compressors = trial.compressors()
+            scores += [(s, labels[k]) for k in range(fold, len(examples), CALIBRATION_SHARE) if (s := score(examples[k][0], *compressors)) is not None]
+        if sum(y for _, y in scores) >= CALIBRATION_FLAGGED:
+            break
+    if final is None or not scores:
         return None
-    compressors = trial.compressors()
-    scores = [(s, labels[k]) for k in held if (s := score(examples[k][0], *compressors)) is not None]
     final.threshold = _threshold(scores)
     return final
 
