@@ -128,45 +128,8 @@ def audio_present(spark: SparkSession, sf: str) -> DataFrame:
 
 # Segments ---------------------------------------------------------------------------------
 
-_SEGMENTS = """WITH raw AS (
-  SELECT row_id, side, logged_at, segments_json, unnest(CAST(json_extract(segments_json, '$[*]') AS JSON[])) AS j FROM (SELECT DISTINCT row_id, side, logged_at, segments_json FROM sortformer_audio_progress WHERE status = 'done' AND json_valid(segments_json) AND segments_json LIKE '[{"start": %')),
- s AS (SELECT row_id, side, logged_at, CAST(j->>'start' AS DOUBLE) AS "start", CAST(j->>'end' AS DOUBLE) AS "end", j->>'speaker' AS speaker FROM raw),
- f AS (SELECT * FROM s WHERE "end" > "start" AND speaker IS NOT NULL)
-"""
 _KEYS = ["row_id", "side", "logged_at"]
 
-
-def _object_segments(spark: SparkSession, sf: str) -> DataFrame:
-    log = table(spark, sf, LOG).filter((F.col("status") == "done") & F.col("segments_json").startswith('[{"start": ')).select(*_KEYS, "segments_json").distinct()
-    return diarization.segment_rows(log, _KEYS).filter("speaker is not null")
-
-
-@C.add(_SEGMENTS + """, per AS (SELECT row_id, side, logged_at, speaker, sum("end" - "start") AS seconds, count(*) AS segments, min(("start", "end")) AS first_seg FROM f GROUP BY ALL),
- w AS (SELECT *, row_number() OVER (PARTITION BY row_id, side, logged_at ORDER BY round(seconds, 6) DESC, first_seg, speaker) AS rn FROM per),
- t AS (SELECT row_id, side, logged_at, count(*) AS num_speakers, CAST(sum(segments) AS BIGINT) AS num_segments, sum(seconds) AS total FROM per GROUP BY ALL),
- sw AS (SELECT row_id, side, logged_at, count(*) FILTER (prev <> speaker) AS speaker_switches FROM (SELECT *, lag(speaker) OVER (PARTITION BY row_id, side, logged_at ORDER BY "start", "end", speaker) AS prev FROM f) GROUP BY ALL)
- SELECT t.row_id, t.side, t.logged_at, num_speakers, num_segments, speaker_switches, round(total, 6) AS total_labeled_duration, w.speaker AS dominant_speaker,
-   round(w.seconds, 6) AS dominant_duration, round(total - w.seconds, 6) AS secondary_duration, round((total - w.seconds) / total, 6) AS secondary_ratio
- FROM t JOIN w ON w.rn = 1 AND w.row_id = t.row_id AND w.side = t.side AND w.logged_at = t.logged_at JOIN sw ON sw.row_id = t.row_id AND sw.side = t.side AND sw.logged_at = t.logged_at""")
-def speaker_analysis(spark: SparkSession, sf: str) -> DataFrame:
-    out = diarization.analysis(_object_segments(spark, sf), _KEYS)
-    rounded = ["total_labeled_duration", "dominant_duration", "secondary_duration", "secondary_ratio"]
-    return out.withColumns({c: F.round(c, 6) for c in rounded})
-
-
-@C.add(_SEGMENTS + """SELECT row_id, side, logged_at, speaker, round(sum("end" - "start"), 6) AS seconds, count(*) AS segments FROM f GROUP BY ALL""")
-def speaker_durations(spark: SparkSession, sf: str) -> DataFrame:
-    return diarization.speaker_seconds(_object_segments(spark, sf), _KEYS).select(*_KEYS, "speaker", F.round("seconds", 6).alias("seconds"), "segments")
-
-
-@C.add(_SEGMENTS + """SELECT row_id, side, logged_at, string_agg("start" || ':' || "end", ' ' ORDER BY "start", "end", speaker) AS vad, round(max("end") - min("start"), 6) AS span FROM f GROUP BY ALL""")
-def vad_span(spark: SparkSession, sf: str) -> DataFrame:
-    parts = F.sort_array(F.collect_list(F.struct("start", "end", "speaker")))
-    text = F.array_join(F.transform(parts, lambda p: F.concat(p["start"].cast("string"), F.lit(":"), p["end"].cast("string"))), " ")
-    strings = _object_segments(spark, sf).groupBy(*_KEYS).agg(text.alias("vad"))
-    return strings.withColumn("span", F.round(X.vad_span(F.col("vad")), 6))
-
-
 #: The lists of all done rows in every notation, those that are empty or can't be read included.
 _LISTS = r"""WITH done AS (SELECT DISTINCT row_id, side, logged_at, segments_json FROM sortformer_audio_progress WHERE status = 'done'),
  heads AS (SELECT row_id, side, logged_at, bool_or(segments_json IS NULL OR json_valid(segments_json)) AS readable FROM done GROUP BY ALL),
@@ -206,7 +169,7 @@ _NUMBERS = ("num_speakers", "num_segments", "speaker_switches", "total_labeled_d
  FROM t JOIN w ON w.rn = 1 AND w.row_id = t.row_id AND w.side = t.side AND w.logged_at = t.logged_at JOIN sw ON sw.row_id = t.row_id AND sw.side = t.side AND sw.logged_at = t.logged_at)
  SELECT h.row_id, h.side, h.logged_at, readable, dominant_speaker, """ + ", ".join(f"CASE WHEN readable THEN coalesce({c}, 0) END AS {c}" for c in _NUMBERS) + """
  FROM heads h LEFT JOIN a ON a.row_id IS NOT DISTINCT FROM h.row_id AND a.side IS NOT DISTINCT FROM h.side AND a.logged_at IS NOT DISTINCT FROM h.logged_at""")
-def speaker_analysis_all(spark: SparkSession, sf: str) -> DataFrame:
+def speaker_analysis(spark: SparkSession, sf: str) -> DataFrame:
     """Every done row: zero speakers for an empty list, nulls for one that can't be read."""
     lists = _done_lists(spark, sf)
     out = _with_empty(lists, diarization.analysis(lists.select(*_KEYS, F.inline("segments")), _KEYS))
@@ -215,7 +178,7 @@ def speaker_analysis_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @C.add(_LISTS + """SELECT row_id, side, logged_at, speaker, round(sum("end" - "start"), 6) AS seconds, count(*) AS segments FROM f GROUP BY ALL""")
-def speaker_durations_all(spark: SparkSession, sf: str) -> DataFrame:
+def speaker_durations(spark: SparkSession, sf: str) -> DataFrame:
     rows = _done_lists(spark, sf).select(*_KEYS, F.inline("segments"))
     return diarization.speaker_seconds(rows, _KEYS).select(*_KEYS, "speaker", F.round("seconds", 6).alias("seconds"), "segments")
 
@@ -223,7 +186,7 @@ def speaker_durations_all(spark: SparkSession, sf: str) -> DataFrame:
 @C.add(_LISTS + """, v AS (SELECT row_id, side, logged_at, string_agg("start" || ':' || "end", ' ' ORDER BY "start", "end", speaker) AS vad, round(max("end") - min("start"), 6) AS span FROM f GROUP BY ALL)
  SELECT h.row_id, h.side, h.logged_at, readable, CASE WHEN readable THEN coalesce(vad, '') END AS vad, span
  FROM heads h LEFT JOIN v ON v.row_id IS NOT DISTINCT FROM h.row_id AND v.side IS NOT DISTINCT FROM h.side AND v.logged_at IS NOT DISTINCT FROM h.logged_at""")
-def vad_span_all(spark: SparkSession, sf: str) -> DataFrame:
+def vad_span(spark: SparkSession, sf: str) -> DataFrame:
     """Every done row: an empty text and no span for an empty list, nulls for one that can't be read."""
     parts = F.sort_array(F.flatten(F.collect_list("segments")))
     text = F.array_join(F.transform(parts, lambda p: F.concat(p["start"].cast("string"), F.lit(":"), p["end"].cast("string"))), " ")
@@ -368,13 +331,16 @@ _FUNNEL = f"""WITH m AS ({_FIRST}), l AS ({_LATEST}), sc AS (SELECT sample_id, m
  sp AS (SELECT row_id, coalesce(bool_or(num_speakers = 1) FILTER (side = 'source'), false) AND coalesce(bool_or(num_speakers = 1) FILTER (side = 'target'), false) AS strict FROM l GROUP BY 1),
  d AS (SELECT row_id, max(total_labeled_duration) FILTER (side = 'source') AS src_sec, max(total_labeled_duration) FILTER (side = 'target') AS tgt_sec FROM (SELECT DISTINCT row_id, side, total_labeled_duration FROM sortformer_audio_progress) GROUP BY 1),
  f AS (SELECT substr(m.sample_id, 1, 5) AS pair, src_sec, tgt_sec,
-   ({_NORM.format('src_lang')} = {_NORM.format('substr(m.sample_id, 1, 2)')} AND {_NORM.format('tgt_lang')} = {_NORM.format('substr(m.sample_id, 4, 2)')}) AS lang_ok, coalesce(strict, false) AS spk_ok, coalesce(score >= 3.5, false) AS q_ok
+   ({_NORM.format('src_lang')} = {_NORM.format('substr(m.sample_id, 1, 2)')} AND {_NORM.format('tgt_lang')} = {_NORM.format('substr(m.sample_id, 4, 2)')}) AS lang_ok, coalesce(strict, false) AS spk_ok, coalesce(score >= 3.5, false) AS q_ok,
+   m.sample_id IN (SELECT sample_id FROM train_metadata WHERE sample_id IS NOT NULL) AS t_ok
    FROM m LEFT JOIN sp ON sp.row_id = m.sample_id LEFT JOIN sc ON sc.sample_id = m.sample_id LEFT JOIN d ON d.row_id = m.sample_id),
  x AS (SELECT pair, 'raw' AS stage, 0 AS k, src_sec, tgt_sec FROM f UNION ALL SELECT pair, 'language', 1, src_sec, tgt_sec FROM f WHERE lang_ok
-   UNION ALL SELECT pair, 'speaker', 2, src_sec, tgt_sec FROM f WHERE lang_ok AND spk_ok UNION ALL SELECT pair, 'quality', 3, src_sec, tgt_sec FROM f WHERE lang_ok AND spk_ok AND q_ok),
+   UNION ALL SELECT pair, 'speaker', 2, src_sec, tgt_sec FROM f WHERE lang_ok AND spk_ok UNION ALL SELECT pair, 'quality', 3, src_sec, tgt_sec FROM f WHERE lang_ok AND spk_ok AND q_ok
+   UNION ALL SELECT pair, 'training', 4, src_sec, tgt_sec FROM f WHERE lang_ok AND spk_ok AND q_ok AND t_ok),
  a AS (SELECT pair, stage, k, count(*) AS num_pairs, coalesce(sum(src_sec), 0) AS s, coalesce(sum(tgt_sec), 0) AS t FROM x GROUP BY ALL)
  SELECT pair, stage, k, num_pairs, round(s / 3600, 9) AS source_hours, round(t / 3600, 9) AS target_hours, round((s + t) / 3600, 9) AS total_hours, round(s / num_pairs, 10) AS avg_source_duration_sec,
-   round(t / num_pairs, 10) AS avg_target_duration_sec, round(num_pairs::DOUBLE / lag(num_pairs) OVER (PARTITION BY pair ORDER BY k), 9) AS retention_from_previous_stage FROM a"""
+   round(t / num_pairs, 10) AS avg_target_duration_sec,
+   CASE WHEN stage <> 'training' THEN round(num_pairs::DOUBLE / lag(num_pairs) OVER (PARTITION BY pair ORDER BY k), 9) END AS retention_from_previous_stage FROM a"""
 
 
 def _gated(spark: SparkSession, sf: str) -> Pipeline:
@@ -396,16 +362,6 @@ def _funnel(gated: Pipeline) -> DataFrame:
 
 @C.add(_FUNNEL)
 def construction_funnel(spark: SparkSession, sf: str) -> DataFrame:
-    """The gates one after another over the whole manifest, with counts and hours per stage."""
-    return _funnel(_gated(spark, sf))
-
-
-@C.add(
-    _FUNNEL.replace(" AS q_ok\n", " AS q_ok, m.sample_id IN (SELECT sample_id FROM train_metadata WHERE sample_id IS NOT NULL) AS t_ok\n")
-    .replace("AND q_ok),", "AND q_ok UNION ALL SELECT pair, 'training', 4, src_sec, tgt_sec FROM f WHERE lang_ok AND spk_ok AND q_ok AND t_ok),")
-    .replace("round(num_pairs::DOUBLE / lag(num_pairs) OVER (PARTITION BY pair ORDER BY k), 9) AS", "CASE WHEN stage <> 'training' THEN round(num_pairs::DOUBLE / lag(num_pairs) OVER (PARTITION BY pair ORDER BY k), 9) END AS")
-)
-def construction_funnel_all(spark: SparkSession, sf: str) -> DataFrame:
     """The funnel down to the training split, which has no retention, as in the stage table."""
     gated = _gated(spark, sf)
     train = table(spark, sf, TRAIN).select("sample_id").distinct().withColumn("in_training", F.lit(True))
