@@ -22,6 +22,8 @@ SPEECH_ENCODERS = {
     "en": "sonar_speech_encoder_eng", "eng": "sonar_speech_encoder_eng", "de": "sonar_speech_encoder_deu",
     "deu": "sonar_speech_encoder_deu", "es": "sonar_speech_encoder_spa", "spa": "sonar_speech_encoder_spa",
 }
+#: Names of languages for the recogniser.
+RECOGNISER_LANGUAGES = {"en": "english", "eng": "english", "es": "spanish", "spa": "spanish", "de": "german", "deu": "german"}
 #: What an inferring scan reads as missing.
 NA_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
@@ -63,6 +65,12 @@ def speech_encoder(c: Column) -> Column:
     return F.when(key.isNull(), F.lit(None).cast("string")).otherwise(F.coalesce(_lookup(SPEECH_ENCODERS, key), unknown))
 
 
+def recogniser_language(c: Column) -> Column:
+    """Name of a language for the recogniser; an unknown one passes through in lower case."""
+    key = F.lower(strip(c))
+    return F.coalesce(_lookup(RECOGNISER_LANGUAGES, key), key)
+
+
 def clean_text(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
@@ -166,14 +174,30 @@ def vad_span(c: Column) -> Column:
     return F.array_max(F.transform(segments, lambda x: x["e"])) - F.array_min(F.transform(segments, lambda x: x["s"]))
 
 
-def code_stack(codes: Column, shape: Column, levels: int | None = None) -> Column:
-    """Flat codes with a shape ``1xQxF`` as an array of levels; null where the lengths differ."""
-    dims = F.transform(F.split(shape, "x"), lambda d: d.try_cast("int"))
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def code_stack(codes: Column, shape: Column, levels: int | None = None, order: list[int] | None = None) -> Column:
+    """Flat codes with a shape ``1xQxF`` as an array of levels; null where the shape or the length is wrong.
+
+    ``levels`` keeps the first ones and is null where there are fewer; ``order`` puts the
+    levels with these numbers first, the others follow from the end of ``order`` on.
+    """
+    dims = F.transform(F.split(F.replace(F.lower(strip(shape)), F.lit(" "), F.lit("")), "x"), lambda d: d.try_cast("int"))
     flat = F.transform(F.filter(F.split(strip(codes), r"\s+"), lambda t: t != ""), lambda t: t.try_cast("int"))
-    q, f = F.get(dims, F.lit(1)), F.get(dims, F.lit(2))
-    wanted = q if levels is None else F.least(q, F.lit(levels))
-    stack = F.transform(F.sequence(F.lit(0), wanted - 1), lambda i: F.slice(flat, i * f + 1, f))
-    return F.when((F.size(flat) == q * f) & (f > 0), stack)
+
+    def cut(parts: Column) -> Column:
+        flat, q, f = parts["flat"], parts["q"], parts["f"]
+        wanted = q if levels is None else F.lit(levels)
+        at = F.sequence(F.lit(0), wanted - 1)
+        if order is not None:
+            at = F.concat(F.array(*[F.lit(k) for k in order]), F.slice(at, len(order) + 1, F.greatest(wanted, F.lit(0))))
+        stack = F.transform(at, lambda i: F.slice(flat, i * f + 1, f))
+        return F.when((parts["size"] == 3) & (parts["one"] == 1) & (F.size(flat) == q * f) & (f > 0) & (wanted > 0) & (wanted <= q), stack)
+
+    return bound(F.struct(flat.alias("flat"), F.size(dims).alias("size"), F.get(dims, F.lit(0)).alias("one"), F.get(dims, F.lit(1)).alias("q"), F.get(dims, F.lit(2)).alias("f")), cut)
 
 
 def code_text(codes: Column) -> Column:
@@ -185,6 +209,12 @@ def transpose(rows: Column) -> Column:
     return F.when(width > 0, F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.transform(rows, lambda r: F.get(r, i))))
 
 
+def frames_first(stack: Column, levels: int) -> Column:
+    """A stack of levels, or of frames, as frames; null where neither side has ``levels`` parts."""
+    width = F.size(F.get(stack, F.lit(0)))
+    return F.when((F.size(stack) == levels) & (width != levels), transpose(stack)).when(width == levels, stack)
+
+
 def wrapped(codes: Column, begin: int, end: int) -> Column:
     return F.concat(F.array(F.lit(begin)), codes, F.array(F.lit(end)))
 
@@ -203,23 +233,72 @@ def pad_mask(codes: Column, length: Column) -> Column:
 
 def inverse_order(order: Column) -> Column:
     """Where each place went under a permutation of 0..n-1."""
-    return F.transform(F.sequence(F.lit(0), F.size(order) - 1), lambda i: (F.array_position(order, i) - 1).cast("int"))
+    placed = F.sort_array(F.transform(order, lambda x, i: F.struct(x.alias("to"), i.alias("at"))))
+    return F.transform(placed, lambda p: p["at"])
+
+
+def within_budget(tokens: Column, budget: int, begin: int, end: int, extra: tuple[int, ...] = (), content: tuple[int, int] | None = None, closed: bool = False) -> Column:
+    """A token sequence of at most ``budget``: begin, extras, the first tokens that fit, end.
+
+    With ``content`` the tokens stand between its two signs, and the end only if ``closed``.
+    """
+    before = [begin, *extra, *([content[0]] if content else [])]
+    after = ([content[1]] if content else [end]) + ([end] if content and closed else [])
+    structural = (3 if content else 2) + closed + len(extra)
+    ints = lambda xs: F.array(*[F.lit(x) for x in xs])
+    return F.concat(ints(before), F.slice(tokens, 1, max(0, budget - structural)), ints(after))
 
 
 def clamp(c: Column, low: int, high: int) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 
 
-def repeated_ngrams(tokens: Column, n: int) -> Column:
-    """The n-grams of an array that it had before, as text in order."""
+def ngrams(tokens: Column, n: int) -> Column:
+    """The n-grams of an array as text, in order."""
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) < n, F.array().cast("array<string>")).otherwise(F.filter(grams, lambda g, i: F.array_position(grams, g) <= i))
+    return F.when(F.size(tokens) < n, F.array().cast("array<string>")).otherwise(grams)
+
+
+def repeated_ngram_count(tokens: Column, n: int) -> Column:
+    """How many n-grams of an array it had before."""
+    return bound(ngrams(tokens, n), lambda g: F.size(g) - F.size(F.array_distinct(g)))
+
+
+def banned_continuations(tokens: Column, n: int) -> Column:
+    """The tokens that would repeat an n-gram, in the order of its occurrences, each once."""
+    size = F.size(tokens)
+    if n == 1:
+        return F.array_distinct(tokens)
+    parts = F.struct(tokens.alias("t"), F.slice(tokens, F.greatest(size - n + 2, F.lit(1)), n - 1).alias("last"))
+    places = lambda p: F.filter(F.sequence(F.lit(1), F.size(p["t"]) - n + 1), lambda i: F.slice(p["t"], i, n - 1) == p["last"])
+    found = bound(parts, lambda p: F.array_distinct(F.transform(places(p), lambda i: F.element_at(p["t"], i + n - 1))))
+    return F.when(size >= n, found).otherwise(F.slice(tokens, 1, 0))
 
 
 def top_k(values: Column, k: int) -> Column:
     return F.slice(F.sort_array(values, asc=False), 1, k)
 
 
+def bracketed(c: Column) -> Column:
+    """``[a, b ,]`` as ``[a,b]``; other text only loses the blanks around it."""
+    inner = F.array_join(F.filter(F.transform(F.split(F.regexp_extract(strip(c), r"(?s)^\[(.*)\]$", 1), ","), strip), lambda x: x != ""), ",")
+    return F.when(strip(c).rlike(r"(?s)^\[.*\]$"), F.concat(F.lit("["), inner, F.lit("]"))).otherwise(strip(c))
+
+
+def override(command: Column, key: str) -> Column:
+    """The value of ``key=value`` or ``+key=value`` in a command, without quotes; null if there is none."""
+    found = F.regexp_extract_all(command, F.lit(rf"(?:^|\s)\+?\Q{key}\E=([^\s]+)"), F.lit(1))
+    return F.regexp_replace(F.get(found, F.lit(0)), "^[\"']+|[\"']+$", "")
+
+
+def with_override(command: Column, key: str, value: Column) -> Column:
+    """The command with another value in the first such place; without one it is an error."""
+    parts = rf"(?s)^(.*?)(\+?\Q{key}\E=)([^\s]+)(.*)$"
+    missing = F.raise_error(F.concat(F.lit(f"no override {key} in "), command))
+    group = lambda k: F.regexp_extract(command, parts, k)
+    return F.when(command.rlike(parts), F.concat(group(1), group(2), value, group(4))).otherwise(missing)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 

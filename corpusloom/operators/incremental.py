@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.selection import latest_per_key
+from corpusloom.staging import lookup_join, stage
 
 
 def latest_progress(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -25,12 +26,20 @@ def memoised(rows: DataFrame, key: str, score: Callable[[DataFrame], DataFrame],
     """Score each distinct key once, without those in the cache, and join the scores back.
 
     ``score`` takes a one-column frame and adds columns; ``cache`` has the same columns.
+    Null keys have null scores and take no part in the join, which goes by a digest; keys
+    that many rows share are spread (``lookup_join``).
     """
-    wanted = rows.select(key).filter(F.col(key).isNotNull()).distinct()
+    digest = F.unhex(F.md5(F.col(key).cast("string")))
+    counted = stage(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")), "distinct")
+    wanted = counted.select(key)
     known = wanted.join(cache, key) if cache is not None else None
     fresh = score(wanted.join(cache.select(key), key, "left_anti") if cache is not None else wanted)
     scores = fresh if known is None else fresh.unionByName(known)
-    return rows.join(scores, key, "left")
+    added = [c for c in scores.columns if c != key]
+    table = stage(scores.join(counted, key).select(digest.alias("_digest"), *added, F.col("_n")), "scores")
+    found = lookup_join(rows.filter(F.col(key).isNotNull()).withColumn("_digest", digest), table, "_digest", weight="_n").select(*rows.columns, *added)
+    empty = rows.filter(F.col(key).isNull()).select(*rows.columns, *[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in added])
+    return found.unionByName(empty)
 
 
 def coalesced(rows: DataFrame, key: str, lookups: list[DataFrame], value: str) -> DataFrame:

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.expr import no_nan
 from corpusloom.operators.relational import with_position
+from corpusloom.staging import stage
+
+
+#: Rows up to which the best are found without sorting all.
+TOP = 100_000
 
 
 def shuffle_key(id_: Column, seed: int) -> Column:
@@ -30,13 +35,23 @@ def by_cutoff(rows: DataFrame, score: str, cutoff: float) -> DataFrame:
 def top_n(rows: DataFrame, score: str, n: int, id_col: str) -> DataFrame:
     """Decisions for the n best scores, ties in shuffle order; missing and NaN scores come last.
 
-    Fails if there are fewer rows than n.
+    Fails if there are fewer rows than n. Up to ``TOP`` rows are found by a top-k of each
+    partition, and only the last of them is compared with the others; for more, positions
+    in the whole order are computed.
     """
     if n > rows.count():
         raise ValueError(f"{n} rows wanted, more than there are")
-    best = F.desc_nulls_last("_score")
-    ordered = with_position(rows.withColumn("_score", no_nan(F.col(score))).withColumn("_key", F.md5(F.col(id_col).cast("string"))), [best, "_key", id_col])
-    return decisions(ordered, F.col("position") < n, "below_top_n_boundary").drop("_score", "_key", "position")
+    s = no_nan(F.col(score))
+    order = F.struct(s.isNull().alias("none"), (-s).alias("minus"), F.md5(F.col(id_col).cast("string")).alias("key"), F.col(id_col).alias("id"))
+    if n > TOP:
+        placed = with_position(rows.withColumn("_order", order), ["_order"])
+        return decisions(placed, F.col("position") < n, "below_top_n_boundary").drop("_order", "position")
+    last = rows.select(order.alias("_order")).orderBy("_order").limit(n).agg(F.max("_order").alias("o")).first()[0] if n > 0 else None
+    if last is None:
+        return decisions(rows, F.lit(False), "below_top_n_boundary")
+    kinds = dict(rows.select(order.alias("o")).select("o.*").dtypes)
+    boundary = F.struct(*[F.lit(last[c]).cast(kinds[c]).alias(c) for c in ("none", "minus", "key", "id")])
+    return decisions(rows, order <= boundary, "below_top_n_boundary")
 
 
 def retained_boundary(decided: DataFrame, score: str) -> DataFrame:
@@ -108,16 +123,45 @@ def mixed_order(id_: Column) -> list[Column]:
     return [number.asc_nulls_last(), id_.asc()]
 
 
-def beam_score(log_prob: Column, length: Column, alpha: float) -> Column:
-    return log_prob / F.pow(F.greatest(length, F.lit(1)).cast("double"), F.lit(alpha))
+def beam_score(log_prob: Column, length: Column, alpha: float, capped: Column | None = None, cap_penalty: float = 0.0) -> Column:
+    """Log probability over length to the power of ``alpha``, less a penalty where the length was capped."""
+    score = log_prob / F.pow(F.greatest(length, F.lit(1)).cast("double"), F.lit(alpha)) if alpha > 0 else log_prob
+    return score if capped is None else score - F.when(capped, F.lit(cap_penalty)).otherwise(0.0)
 
 
-def ranks_with_ties(rows: DataFrame, value: str, groups: list[str], name: str) -> DataFrame:
-    """Average rank of a value within its group, over one row per distinct value.
+def running_counts(rows: DataFrame, value: str, groups: list[str]) -> DataFrame:
+    """(groups..., value, _n, _upto) of each distinct value: its rows, and those of the group up to it.
 
-    Equal values are counted first, so only distinct values are sorted.
+    Values are counted first. The counts are range-partitioned and summed within their
+    partition; one sum per partition and group gives what lies before. So no group is
+    gathered in one task.
     """
-    ordered = Window.partitionBy(*groups).orderBy(value)
     counted = rows.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(ordered)
-    return counted.withColumn(name, upto - (F.col("_n") - 1) / 2.0).drop("_n")
+    placed = stage(counted.repartitionByRange(*groups, value).withColumn("_part", F.spark_partition_id()), "ordered")
+    within = placed.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_part", *groups).orderBy(value)))
+    sizes = placed.groupBy("_part", *groups).agg(F.sum("_n").alias("_size"))
+    before = sizes.withColumn("_before", F.sum("_size").over(Window.partitionBy(*groups).orderBy("_part")) - F.col("_size")).drop("_size")
+    right = before.withColumnsRenamed({c: f"_r{c}" for c in ("_part", *groups)})
+    joined = within.join(right, [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in ("_part", *groups)])
+    return joined.withColumn("_upto", F.col("_upto") + F.col("_before")).select(*groups, value, "_n", "_upto")
+
+
+def ranks_with_ties(rows: DataFrame, value: str, groups: list[str], name: str) -> DataFrame:
+    """(groups..., value, _n, name): the average rank of each distinct value within its group."""
+    return running_counts(rows, value, groups).withColumn(name, F.col("_upto") - (F.col("_n") - 1) / 2.0).drop("_upto")
+
+
+def quantiles(rows: DataFrame, value: str, groups: list[str], wanted: dict[str, float]) -> DataFrame:
+    """(groups..., one column per wanted quantile), interpolated between the two nearest values."""
+    counts = running_counts(rows, value, groups)
+    total = F.max("_upto").over(Window.partitionBy(*groups))
+    totals = counts.groupBy(*groups).agg(F.max("_upto").alias("_total")).withColumnsRenamed({c: f"_r{c}" for c in groups})
+    joined = counts.join(totals, [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in groups]) if groups else counts.withColumn("_total", total)
+    aggs = []
+    for name, q in wanted.items():
+        place = (F.col("_total") - 1) * q
+        at = lambda k: F.max(F.when((F.col("_upto") > k) & (F.col("_upto") - F.col("_n") <= k), F.col(value)))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        part = F.max(place - F.floor(place))
+        aggs.append((low + (high - low) * part).alias(name))
+    return joined.groupBy(*groups).agg(*aggs)

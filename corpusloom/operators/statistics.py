@@ -13,9 +13,11 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
 
 from corpusloom.functions.expr import no_nan, to_number
-from corpusloom.operators.selection import ranks_with_ties
+from corpusloom.operators.selection import quantiles, ranks_with_ties
+from corpusloom.staging import lookup_join, stage
 
 QUANTILES = {"p10": 0.10, "p25": 0.25, "p75": 0.75, "p90": 0.90}
 #: Degrees of freedom with a row of their own; beyond, an expansion around the normal quantile is used.
@@ -87,21 +89,22 @@ def distribution(rows: DataFrame, value: str, prefix: str, groups: Iterable[str]
     """
     x = no_nan(F.col("_x"))
     numbers = rows.select(*groups, to_number(F.col(value)).alias("_x"))
-    quantiles = [F.percentile("_x", F.lit(q)).alias(f"{prefix}_{k}") for k, q in QUANTILES.items()]
+    groups = list(groups)
+    numbers = numbers.filter(x.isNotNull())
+    cuts = quantiles(numbers, "_x", groups, {f"{prefix}_median": 0.5} | {f"{prefix}_{k}": q for k, q in QUANTILES.items()})
+    right = cuts.withColumnsRenamed({c: f"_r{c}" for c in groups})
     out = (
-        numbers.filter(x.isNotNull())
-        .groupBy(*groups)
+        numbers.groupBy(*groups)
         .agg(
             F.count("_x").alias(f"{prefix}_n"),
             F.avg("_x").alias(f"{prefix}_mean"),
-            F.percentile("_x", F.lit(0.5)).alias(f"{prefix}_median"),
             F.coalesce(F.stddev_samp("_x"), F.lit(0.0)).alias(f"{prefix}_std"),
             sem(F.col("_x")).alias(f"{prefix}_sem"),
             F.min("_x").alias(f"{prefix}_min"),
             F.max("_x").alias(f"{prefix}_max"),
-            *quantiles,
         )
     )
+    out = out.join(right, [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in groups] or F.lit(True), "left").drop(*(f"_r{c}" for c in groups))
     return t_interval(out.filter(F.col(f"{prefix}_n") > 0), prefix)
 
 
@@ -144,12 +147,53 @@ def pearson(x: Column, y: Column) -> Column:
 
 
 def spearman(rows: DataFrame, x: str, y: str, groups: list[str]) -> DataFrame:
-    """Pearson of average ranks per group, over pairs with both values."""
+    """Pearson of average ranks per group, over pairs with both values.
+
+    Ranks are looked up by value; values that many rows share are spread (``lookup_join``).
+    """
+    key = lambda c: F.struct(*groups, c)
     pairs = rows.select(*groups, to_number(F.col(x)).alias("_x"), to_number(F.col(y)).alias("_y")).filter("_x is not null and _y is not null")
-    ranked = pairs.join(ranks_with_ties(pairs, "_x", groups, "_rx"), [*groups, "_x"]).join(ranks_with_ties(pairs, "_y", groups, "_ry"), [*groups, "_y"])
+    ranked = stage(pairs.select("*", key("_x").alias("_kx"), key("_y").alias("_ky")), "pairs")
+    for c in ("x", "y"):
+        table = stage(ranks_with_ties(ranked, f"_{c}", groups, f"_r{c}").select(key(f"_{c}").alias(f"_k{c}"), f"_r{c}", F.col("_n").alias(f"_n{c}")), "ranks")
+        ranked = lookup_join(ranked, table, f"_k{c}", weight=f"_n{c}")
     return ranked.groupBy(*groups).agg(F.count("*").alias("n"), pearson(F.col("_x"), F.col("_y")).alias("pearson"), pearson(F.col("_rx"), F.col("_ry")).alias("spearman"))
 
 
+def correlation_table(rows: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """(unit, n, pearson, spearman) of several column pairs; a unit with fewer than two pairs of numbers has no row."""
+    parts = F.array(*[F.struct(F.lit(unit).alias("unit"), to_number(F.col(a)).alias("x"), to_number(F.col(b)).alias("y")) for unit, (a, b) in columns.items()])
+    return spearman(rows.select(F.inline(parts)), "x", "y", ["unit"]).filter("n > 1")
+
+
+def filter_counts(source: DataFrame, target: DataFrame, key: str, valid: str) -> DataFrame:
+    """One row: of both sides the raw, matched, invalid and unmatched rows, and the keys kept and dropped.
+
+    A key is kept if some row of each side with that key is valid. Rows are counted per key
+    first, so the outer join has one row per key and side.
+    """
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        ok = F.coalesce(F.col(valid), F.lit(False))
+        return df.groupBy(F.col(key).alias("k")).agg(F.count("*").alias(f"{name}_rows"), F.count_if(ok).alias(f"{name}_valid"))
+
+    both = side(source, "src").join(side(target, "tgt"), "k", "full")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    matched = F.col("src_rows").isNotNull() & F.col("tgt_rows").isNotNull()
+    out = both.agg(
+        *[F.coalesce(F.sum(n(f"{s}_rows")), F.lit(0)).alias(f"{s}_raw") for s in ("src", "tgt")],
+        *[F.coalesce(F.sum(F.when(matched, F.col(f"{s}_rows"))), F.lit(0)).alias(f"{s}_matched") for s in ("src", "tgt")],
+        F.count_if(matched & (F.col("src_valid") > 0) & (F.col("tgt_valid") > 0)).alias("kept"),
+        *[F.coalesce(F.sum(n(f"{s}_rows") - n(f"{s}_valid")), F.lit(0)).alias(f"{s}_invalid") for s in ("src", "tgt")],
+    )
+    return out.select("*", (F.greatest("src_matched", "tgt_matched") - F.col("kept")).alias("dropped"), *[(F.col(f"{s}_raw") - F.col(f"{s}_matched")).alias(f"{s}_unmatched") for s in ("src", "tgt")])
+
+
+def summed(shards: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
+    """The statistics of all shards added up, column by column."""
+    return shards.agg(*[F.sum(c).alias(c) for c in shards.columns if c not in without])
+
+
 def errors(x: Column, y: Column) -> list[Column]:
     """Error measures of y against x."""
     d = y - x
@@ -164,12 +208,18 @@ def errors(x: Column, y: Column) -> list[Column]:
 
 
 def column_means(rows: DataFrame, id_col: str, uncertainty: str = "none") -> DataFrame:
-    """(metric, n, mean, pm) for every column that holds numbers; one pass over the rows."""
-    values = [c for c in rows.columns if c != id_col]
-    long = rows.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), to_number(F.col(c)).alias("x")) for c in values])))
-    n = F.count("x")
-    pm = {"none": F.lit(None).cast("double"), "std": F.stddev_samp("x"), "sem": F.when(n > 1, F.stddev_samp("x") / F.sqrt(n)), "ci95": normal_margin(F.col("x"))}[uncertainty]
-    return long.groupBy("metric").agg(n.alias("n"), F.avg("x").alias("mean"), pm.alias("pm")).filter("n > 0")
+    """(metric, n, mean, pm) for every column that holds numbers, as numbers or as text; one pass over the rows."""
+    values = {f.name: no_nan(F.col(f.name).cast("double")) if isinstance(f.dataType, NumericType) else to_number(F.col(f.name)) for f in rows.schema if f.name != id_col and isinstance(f.dataType, (NumericType, StringType))}
+    numbers = rows.select(*[x.alias(f"_{k}") for k, x in enumerate(values.values())])
+
+    def pm(x: Column) -> Column:
+        return {"none": F.lit(None).cast("double"), "std": F.stddev_samp(x), "sem": F.when(F.count(x) > 1, F.stddev_samp(x) / F.sqrt(F.count(x))), "ci95": normal_margin(x)}[uncertainty]
+
+    aggs = [a for k in range(len(values)) for x in [F.col(f"_{k}")] for a in (F.count(x).alias(f"n{k}"), F.avg(x).alias(f"mean{k}"), pm(x).alias(f"pm{k}"))]
+    if not aggs:
+        return rows.sparkSession.createDataFrame([], "metric string, n bigint, mean double, pm double")
+    parts = [F.struct(F.lit(c).alias("metric"), F.col(f"n{k}").alias("n"), F.col(f"mean{k}").alias("mean"), F.col(f"pm{k}").alias("pm")) for k, c in enumerate(values)]
+    return numbers.agg(*aggs).select(F.inline(F.array(*parts))).filter("n > 0")
 
 
 def masked_pooling(rows: DataFrame, keys: list[str], position: str, value: str, mask: str | None = None, floor: float = 1e-12, shift: float = 0.0) -> DataFrame:

@@ -106,8 +106,7 @@ _LONG = " UNION ALL ".join(f"SELECT '{c}' AS metric, CAST({c} AS DOUBLE) AS x FR
 
 @C.add(f"SELECT metric, count(x) AS n, round(avg(x), 6) AS mean, round(CASE WHEN count(x) > 1 THEN 1.96 * stddev_samp(x) / sqrt(count(x)) END, 6) AS pm FROM ({_LONG}) GROUP BY metric")
 def every_column_mean(spark: SparkSession, sf: str) -> DataFrame:
-    df = table(spark, sf, "lineitem").drop("l_shipdate", "l_linestatus")
-    return _rounded(statistics.column_means(df, "l_linenumber", "ci95"))
+    return _rounded(statistics.column_means(table(spark, sf, "lineitem"), "l_linenumber", "ci95"))
 
 
 # Metric tables ---------------------------------------------------------------------------------
@@ -207,7 +206,7 @@ def _tokens(spark: SparkSession, sf: str) -> DataFrame:
 @C.add(f"""WITH g AS (SELECT line_no, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g FROM {_TOK}), c AS (SELECT line_no, g, count(*) AS n FROM g GROUP BY ALL)
  SELECT t.line_no, coalesce(CAST(sum(n - 1) AS BIGINT), 0) AS repeated FROM {_TOK} t LEFT JOIN c ON c.line_no = t.line_no GROUP BY t.line_no""")
 def repeated_bigrams(spark: SparkSession, sf: str) -> DataFrame:
-    return _tokens(spark, sf).select("line_no", F.size(X.repeated_ngrams(F.col("w"), 2)).cast("bigint").alias("repeated"))
+    return _tokens(spark, sf).select("line_no", X.repeated_ngram_count(F.col("w"), 2).cast("bigint").alias("repeated"))
 
 
 @C.add(f"SELECT line_no, array_to_string([x FOR x, i IN w IF list_position(w, x) = i], ' ') AS words FROM {_TOK}")

@@ -80,8 +80,36 @@ def test_codes(spark):
     assert one(spark, [[1, 2], [3, 4], [5, 6]], "array<array<int>>", X.transpose) == [[1, 3, 5], [2, 4, 6]]
     assert one(spark, [5, 6], "array<int>", lambda c: X.unwrapped(X.wrapped(c, 1, 2))) == [5, 6]
     assert one(spark, [5, 6], "array<int>", lambda c: X.padded(c, F.lit(4), 0)) == [5, 6, 0, 0]
-    assert one(spark, ["a", "b", "a", "b", "a"], "array<string>", lambda c: X.repeated_ngrams(c, 2)) == ["a b", "b a"]
-    assert one(spark, ["a"], "array<string>", lambda c: X.repeated_ngrams(c, 2)) == []
+    assert one(spark, ["a", "b", "a", "b", "a"], "array<string>", lambda c: X.repeated_ngram_count(c, 2)) == 2
+    assert one(spark, ["a"], "array<string>", lambda c: X.repeated_ngram_count(c, 2)) == 0
+    ordered = X.code_stack(F.col("c"), F.col("s"), 3, [2, 0])
+    assert values(spark, [("1 2 3 4", "1X4x1"), ("1 2", "1x2x1"), ("1 2 3", "2x3x1"), ("", "1x0x1")], schema, ordered) == [[[3], [1], [3]], None, None, None]
+
+
+def test_sequences(spark):
+    tokens = [5, 6, 7, 5, 6, 8, 5, 6]
+    assert one(spark, tokens, "array<int>", lambda c: X.banned_continuations(c, 3)) == [7, 8]
+    assert one(spark, tokens, "array<int>", lambda c: X.banned_continuations(c, 1)) == [5, 6, 7, 8]
+    assert one(spark, [5], "array<int>", lambda c: X.banned_continuations(c, 3)) == []
+    assert one(spark, [5, 6], "array<int>", lambda c: X.banned_continuations(c, 3)) == []
+    assert one(spark, [1, 2, 3, 4], "array<int>", lambda c: X.within_budget(c, 5, 8, 9)) == [8, 1, 2, 3, 9]
+    assert one(spark, [1, 2, 3, 4], "array<int>", lambda c: X.within_budget(c, 7, 8, 9, (50,), (60, 61), True)) == [8, 50, 60, 1, 2, 61, 9]
+    assert one(spark, [1], "array<int>", lambda c: X.within_budget(c, 0, 8, 9)) == [8, 9]
+    assert one(spark, [[1, 2, 3], [4, 5, 6]], "array<array<int>>", lambda c: X.frames_first(c, 2)) == [[1, 4], [2, 5], [3, 6]]
+    assert one(spark, [[1, 4], [2, 5], [3, 6]], "array<array<int>>", lambda c: X.frames_first(c, 2)) == [[1, 4], [2, 5], [3, 6]]
+    assert one(spark, [[1, 2]], "array<array<int>>", lambda c: X.frames_first(c, 5)) is None
+
+
+def test_commands(spark):
+    rows = [(" [a, b ,, c ] ",), ("a, b",), ("[]",), (None,)]
+    assert values(spark, rows, "c string", X.bracketed(F.col("c"))) == ["[a,b,c]", "a, b", "[]", None]
+    command = "run +out.path='/a/b' n=3"
+    assert one(spark, command, "string", lambda c: X.override(c, "out.path")) == "/a/b"
+    assert one(spark, command, "string", lambda c: X.override(c, "path")) is None
+    assert one(spark, command, "string", lambda c: X.with_override(c, "n", F.lit("4"))) == "run +out.path='/a/b' n=4"
+    with pytest.raises(Exception, match="no override m"):
+        one(spark, command, "string", lambda c: X.with_override(c, "m", F.lit("4")))
+    assert one(spark, " DEU ", "string", X.recogniser_language) == "german"
 
 
 def test_vectors(spark):
