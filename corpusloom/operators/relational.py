@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.expr import TRUE_WORDS_WIDE, normalize_language, require_columns, strip, truthy
+from corpusloom.functions.expr import TRUE_WORDS_WIDE, normalize_language, pad_mask, padded, require_columns, strip, truthy
 
 #: Flags of the preprocessing steps, and a column that holds recognised text.
 PREPROCESS_FLAGS = ("preprocess_gate_ok", "source_clearvoice_ok", "target_clearvoice_ok", "source_demucs_ok", "target_demucs_ok")
@@ -199,6 +199,77 @@ def zip_positional(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list
     return with_position(a, order_a).join(with_position(b, order_b), "position")
 
 
-def all_or_none(df: DataFrame, column: str) -> DataFrame:
-    """(present, total, consistent) of an optional column within a batch."""
-    return df.agg(F.count(column).alias("present"), F.count("*").alias("total")).withColumn("consistent", (F.col("present") == 0) | (F.col("present") == F.col("total")))
+def all_or_none(df: DataFrame, column: str, groups: list[str] | None = None) -> DataFrame:
+    """(groups..., present, total, consistent) of an optional column within a batch."""
+    return df.groupBy(*groups or []).agg(F.count(column).alias("present"), F.count("*").alias("total")).withColumn("consistent", (F.col("present") == 0) | (F.col("present") == F.col("total")))
+
+
+def passthrough(c: Column) -> Column:
+    """The text as it is, or null where it is blank."""
+    return F.when(strip(c) != "", c)
+
+
+def coverage_report(manifest: DataFrame, scores: DataFrame, id_col: str) -> DataFrame:
+    """(check, n): ids that stand twice in either table, that lack a score, or that only the scores have."""
+    missing, extra = coverage(manifest, scores, id_col)
+    checks = {"duplicates in manifest": duplicates(manifest, id_col), "duplicates in scores": duplicates(scores, id_col), "missing": missing, "extra": extra}
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n") for name, df in checks.items()])
+
+
+def join_annotations(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str]) -> DataFrame:
+    """Inner join on the first id column that both have, else by position in the given orders; ``b``'s other columns get the suffix ``_tgt``."""
+    key = merge_key(a, b)
+    if key is None:
+        a, b, key = with_position(a, order_a), with_position(b, order_b), "position"
+    renamed = {c: f"{c}_tgt" for c in b.columns if c != key and c in a.columns}
+    return a.join(b.withColumnsRenamed(renamed), key)
+
+
+def join_by_id_or_position(base: DataFrame, scores: DataFrame, id_col: str, order: list[str], order_scores: list[str]) -> DataFrame:
+    """Scores left-joined by id where they have it, else by position if there are as many; else the base alone."""
+    if id_col in scores.columns:
+        return base.join(scores, id_col, "left")
+    if base.count() != scores.count():
+        return base
+    values = [c for c in scores.columns if c not in order_scores]
+    return with_position(base, order).join(with_position(scores, order_scores).select("position", *values), "position", "left").drop("position")
+
+
+def keep_status(df: DataFrame, status: str = "status", ok: str = "ok", keep_others: bool = False) -> DataFrame:
+    return df if keep_others else df.filter(F.col(status) == ok)
+
+
+def indexed_vectors(rows: DataFrame, vectors: DataFrame, index: str, key: str, vector: str, dim: str | None = None, report: bool = False) -> DataFrame:
+    """``rows`` with the vector of their index and a ``fault``: ``no index``, ``out of range``, ``dimension`` or null.
+
+    A fault is an error unless it is to be reported. ``dim`` names a column with the
+    expected dimension; where it is null any will do.
+    """
+    found = vectors.select(F.col(key).alias("_key"), F.col(vector).alias(vector), F.lit(True).alias("_there"))
+    joined = rows.join(found, F.col(index) == F.col("_key"), "left")
+    fault = F.when(F.col(index).isNull(), "no index").when(F.col("_there").isNull(), "out of range")
+    if dim:
+        fault = fault.when(F.col(dim) != F.size(vector), "dimension")
+    if not report:
+        fault = F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("vector "), F.coalesce(F.col(index).cast("string"), F.lit("null")), F.lit(": "), fault)))
+    return joined.withColumn("fault", fault.cast("string")).drop("_key", "_there")
+
+
+def group_batches(df: DataFrame, group: str, order: list[str], size: int) -> DataFrame:
+    """Consecutive ``batch`` numbers within each group, of ``size`` rows; no group is gathered in one task."""
+    placed = with_position(df, [group, *order])
+    first = placed.groupBy(F.col(group).alias("_group")).agg(F.min("position").alias("_first"))
+    joined = placed.join(F.broadcast(first), F.col(group).eqNullSafe(F.col("_group"))) if first.limit(50_001).count() <= 50_000 else placed.join(first, F.col(group).eqNullSafe(F.col("_group")))
+    return joined.withColumn("batch", F.floor((F.col("position") - F.col("_first")) / size)).drop("_group", "_first", "position")
+
+
+def collated(df: DataFrame, batch: str, codes: str, pad: int) -> DataFrame:
+    """``padded`` and ``mask`` columns: each array brought to the longest length within its batch."""
+    longest = df.groupBy(batch).agg(F.max(F.size(codes)).alias("_length"))
+    joined = df.join(longest, batch)
+    return joined.select(*df.columns, padded(F.col(codes), F.col("_length"), pad).alias("padded"), pad_mask(F.col(codes), F.col("_length")).alias("mask"))
+
+
+def dry_run(manifest: DataFrame, id_col: str, values: dict[str, float]) -> DataFrame:
+    """What metrics give in a dry run: the ids with constant values."""
+    return manifest.select(id_col, *[F.lit(float(v)).alias(k) for k, v in values.items()])

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions import expr as X
 from corpusloom.operators import relational, selection, statistics
 from corpusloom.plans.catalogue import Catalogue
-from corpusloom.session import shared_folder
 from corpusloom.sources import tsv
-from corpusloom.staging import stage, table
+from corpusloom.staging import new_folder, table
 from corpusloom.streaming import progress
 
 C = Catalogue()
@@ -43,13 +42,6 @@ def distribution_summary(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(out.drop("s_sem", "s_ci95_half_width", "s_ci95_low", "s_ci95_high"))
 
 
-@C.add()
-def t_intervals(spark: SparkSession, sf: str) -> DataFrame:
-    """Student-t intervals per language pair; SQL has no t quantile, the tests compare with tables."""
-    out = statistics.distribution(_scores(spark, sf), "z", "s", ["pair"])
-    return _rounded(out.select("pair", "s_n", "s_mean", "s_sem", "s_ci95_low", "s_ci95_high", "s_ci95_half_width"))
-
-
 @C.add(f"""WITH s AS (SELECT pair, {_NUM.format('z')} AS v FROM {_VALID})
  SELECT pair, round(CASE WHEN count(v) > 1 THEN stddev_samp(v) / sqrt(count(v)) WHEN count(v) = 1 THEN 0 END, 6) AS sem, round(CASE WHEN count(v) > 1 THEN 1.96 * stddev_samp(v) / sqrt(count(v)) END, 6) AS ci95, round(stddev_pop(v), 6) AS std_population FROM s GROUP BY pair""")
 def error_margins(spark: SparkSession, sf: str) -> DataFrame:
@@ -310,13 +302,6 @@ def rounding(spark: SparkSession, sf: str) -> DataFrame:
 # Sources and sinks -----------------------------------------------------------------------------------
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    stage(spark.range(0), "probe") if not shared_folder(spark) else None
-    return f"{shared_folder(spark).rstrip('/')}/corpusloom-{name}-{uuid.uuid4().hex}"
-
-
 _MANIFEST_COLUMNS = ["line_no", "sample_id", "src_audio", "tgt_audio", "src_text", "tgt_text", "src_lang", "tgt_lang", "show_id", "ingested_at"]
 
 
@@ -326,7 +311,7 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _written(spark: SparkSession, sf: str, compression: str = "none") -> str:
-    path = _folder(spark, "tsv")
+    path = new_folder(spark, "tsv")
     tsv.write_tsv(_texts(spark, sf), path, compression=compression)
     return path
 
@@ -356,14 +341,14 @@ def tsv_filled(spark: SparkSession, sf: str) -> DataFrame:
 
 @C.add("SELECT DISTINCT sample_id AS value FROM dnsmospro_quality_pairs WHERE NOT coalesce(selected, false)")
 def failed_id_list(spark: SparkSession, sf: str) -> DataFrame:
-    path = _folder(spark, "ids")
+    path = new_folder(spark, "ids")
     tsv.write_ids(table(spark, sf, SCORES).filter("not coalesce(selected, false)"), "sample_id", path)
     return tsv.read_line_set(spark, path)
 
 
 @C.add("SELECT sample_id, max(CASE WHEN NOT isnan(src_dnsmospro) THEN src_dnsmospro END) AS score FROM dnsmospro_quality_pairs GROUP BY 1 HAVING score IS NOT NULL")
 def score_cache(spark: SparkSession, sf: str) -> DataFrame:
-    path = _folder(spark, "cache")
+    path = new_folder(spark, "cache")
     tsv.write_tsv(table(spark, sf, SCORES).select("sample_id", F.col("src_dnsmospro").cast("string").alias("score")), path)
     return tsv.read_cache(spark, path, "sample_id", "score", number=True)
 
@@ -374,7 +359,7 @@ _SHARD_COLUMNS = ["sample_id", "line_no", *_MANIFEST_COLUMNS[2:]]
 @C.add(f"SELECT {_every_column("coalesce({0}, '')", _SHARD_COLUMNS)} FROM stage_00_aligned_pair_manifest")
 def shard_union(spark: SparkSession, sf: str) -> DataFrame:
     df = _texts(spark, sf).select(*_SHARD_COLUMNS)
-    root = _folder(spark, "shards")
+    root = new_folder(spark, "shards")
     for k in range(3):
         tsv.write_tsv(df.filter(F.col("line_no").cast("bigint") % 3 == k), f"{root}/shard{k:03d}", mode="overwrite")
     return tsv.read_shards(spark, f"{root}/shard*", _SHARD_COLUMNS, multiline=True)
@@ -386,22 +371,14 @@ def shard_union(spark: SparkSession, sf: str) -> DataFrame:
 @C.add("SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL")
 def streaming_latest(spark: SparkSession, sf: str) -> DataFrame:
     """Latest event per user and type, folded batch by batch from a stream of files."""
-    root = _folder(spark, "stream")
+    root = new_folder(spark, "stream")
     stage_in = f"{root}/in"
     table(spark, sf, "events").repartition(4, "event_id").write.parquet(stage_in)
     out = f"{root}/out"
     fold = progress.upsert_latest(out, ["user_id", "event_type"], ["ts", "event_id"])
     query = progress.stream_parquet(spark, stage_in, 2).writeStream.foreachBatch(fold).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    versions = [int(p.name.split("=")[1]) for p in _children(spark, out)]
-    return spark.read.parquet(f"{out}/version={max(versions)}").select("user_id", "event_type", "event_id", "value")
-
-
-def _children(spark: SparkSession, path: str):
-    from pathlib import PurePosixPath
-
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return [PurePosixPath(s.getPath().toString()) for s in jpath.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(jpath)]
+    return progress.current_state(spark, out).select("user_id", "event_type", "event_id", "value")
 
 
 QUERIES, SQL = C.queries, C.sql

@@ -7,6 +7,7 @@ all executors of a cluster share.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -16,18 +17,50 @@ from pyspark.sql import functions as F
 from corpusloom.session import shared_folder
 
 
+_staged: list[str] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and return a reader of it."""
+    """Write ``df`` as Parquet into the shared folder and return a reader of it.
+
+    The table stays until ``release`` is called, at the latest when the driver's process ends.
+    """
     spark = df.sparkSession
+    path = new_folder(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet, to be removed by ``release``."""
     root = shared_folder(spark)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/corpusloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    if not _staged:
+        atexit.register(lambda: release(spark))
+    _staged.append(f"{root.rstrip('/')}/corpusloom-{name}-{uuid.uuid4().hex}")
+    return _staged[-1]
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder with all it holds; whether there was one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
+
+
+def release(spark: SparkSession) -> int:
+    """Remove all tables staged by this process; results that read them must be done. Returns their number."""
+    done = 0
+    while _staged:
+        path = _staged.pop()
+        try:
+            done += remove(spark, path)
+        except Exception:  # noqa: BLE001  the session may be gone
+            break
+    return done
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.incremental import latest_progress
+from corpusloom.staging import remove, stage
 
 
 def stream_parquet(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
@@ -32,18 +33,55 @@ def status_windows(stream: DataFrame, time_col: str, status: str, width: str = "
     )
 
 
-def upsert_latest(path: str, keys: list[str], order: list[str]):
-    """A ``foreachBatch`` function that keeps a folder of latest rows, one version per batch.
+def _children(spark: SparkSession, path: str) -> list[str]:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
 
-    A version is written once, under its batch number, so a batch that is run again after
-    a failure finds the same input and writes the same rows.
+
+def _versions(spark: SparkSession, path: str, below: int | None = None) -> dict[int, list[int]]:
+    """The batches that have written each bucket, in order."""
+    found: dict[int, list[int]] = {}
+    for name in _children(spark, path):
+        kind, _, number = name.partition("=")
+        if kind == "version" and (below is None or int(number) < below):
+            for inner in _children(spark, f"{path}/{name}"):
+                if inner.startswith("bucket="):
+                    found.setdefault(int(inner[7:]), []).append(int(number))
+    return {b: sorted(v) for b, v in found.items()}
+
+
+def _read(spark: SparkSession, path: str, newest: dict[int, int]) -> DataFrame | None:
+    folders = [f"{path}/version={v}/bucket={b}" for b, v in sorted(newest.items())]
+    return spark.read.option("basePath", path).parquet(*folders).drop("version") if folders else None
+
+
+def current_state(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows that ``upsert_latest`` keeps: of each bucket its newest version."""
+    state = _read(spark, path, {b: v[-1] for b, v in _versions(spark, path).items()})
+    return state.drop("bucket") if state is not None else None
+
+
+def upsert_latest(path: str, keys: list[str], order: list[str], buckets: int = 64):
+    """A ``foreachBatch`` function that keeps a folder of latest rows, in buckets of the keys' hash.
+
+    A batch rewrites only the buckets that it touches, under its own number, so one that is
+    run again after a failure finds the same state below it and writes the same rows. Of
+    each bucket the version before is kept for that; older ones are removed.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        merged = batch
-        if number > 0:
-            merged = spark.read.parquet(f"{path}/version={number - 1}").unionByName(batch)
-        latest_progress(merged, keys, order).write.mode("overwrite").parquet(f"{path}/version={number}")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+        news = stage(latest_progress(batch, keys, order).select("*", bucket), "news")
+        touched = [r[0] for r in news.select("bucket").distinct().collect()]
+        versions = {b: v for b, v in _versions(spark, path, number).items() if b in touched}
+        state = _read(spark, path, {b: v[-1] for b, v in versions.items()})
+        merged = news if state is None else state.unionByName(news)
+        kept = latest_progress(merged.drop("bucket"), keys, order).select("*", bucket)
+        kept.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={number}")
+        for b, found in versions.items():
+            for old in found[:-1]:
+                remove(spark, f"{path}/version={old}/bucket={b}")
 
     return run

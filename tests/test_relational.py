@@ -1,5 +1,6 @@
 import pytest
-from corpusloom.operators import incremental, relational, selection
+from corpusloom.operators import incremental, relational, selection, statistics
+from corpusloom.sources import tsv
 from pyspark.sql import functions as F
 
 
@@ -106,3 +107,73 @@ def test_hot_key_lookup(spark):
     for k in ({}, {"max_rows": 2, "weight": "n"}, {"max_rows": 2, "salts": 4}):
         got = [(r["k"], r["i"], r["n"]) for r in lookup_join(rows, lookup, "k", **k).collect()]
         assert len(got) == 600 and set(got) == want
+
+
+def test_isolated_failures(spark):
+    def score(values):
+        if "bad" in values:
+            raise RuntimeError("no\nuse")
+        return [v.upper() for v in values if v != "lost"]
+
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(["a", "bad", "b", "", "lost", "c"] * 20)], "i int, v string").coalesce(1)
+    for size in (1, 4, 500):
+        got = {r["i"]: (r["text"], r["status"], r["error"]) for r in incremental.isolated(rows, "v", score, "text", size).collect()}
+        assert len(got) == 120
+        assert got[0] == ("A", "done", None) and got[1] == (None, "error", "RuntimeError: no\\nuse")
+        assert got[3][1] == got[4][1] == "error" and got[5][0] == "C"
+    assert incremental.isolated(rows.limit(0), "v", score, "text").count() == 0
+
+
+def test_assembly_and_resume(spark, tmp_path):
+    pairs = spark.createDataFrame([("1", "a", "x"), ("2", "b", "y"), ("3", "a", "z"), ("4", None, "x")], "id string, s string, t string")
+    src = spark.createDataFrame([("a", "A"), ("b", "B")], "p string, text string")
+    tgt = spark.createDataFrame([("x", "X"), ("z", "Z")], "p string, text string")
+    failed = spark.createDataFrame([("z",)], "p string")
+    out = incremental.assembled(pairs, {"sentence": ("s", src, failed), "translation": ("t", tgt, failed)}, ("t", tgt.filter("p = 'z'"), "extra"))
+    assert [r.asDict() for r in out.collect()] == [{"id": "1", "s": "a", "t": "x", "sentence": "A", "translation": "X", "extra": ""}]
+    folder, data = str(tmp_path / "run"), str(tmp_path / "in")
+    pairs.coalesce(1).write.parquet(data)
+    wanted = incremental.contract(spark, data, model="m", batch=8)
+    assert incremental.resumed(spark, folder, wanted, pairs, ["id"]).count() == 4
+    pairs.filter("id < '3'").write.parquet(f"{folder}/done")
+    assert {r["id"] for r in incremental.resumed(spark, folder, wanted, pairs, ["id"]).collect()} == {"3", "4"}
+    with pytest.raises(ValueError, match="have changed"):
+        incremental.resumed(spark, folder, wanted | {"batch": "9"}, pairs, ["id"])
+    pairs.coalesce(1).write.mode("append").parquet(data)
+    with pytest.raises(ValueError, match="have changed"):
+        incremental.resumed(spark, folder, incremental.contract(spark, data, model="m", batch=8), pairs, ["id"])
+    (tmp_path / "a").write_text("x")
+    (tmp_path / "b").write_text("")
+    work = spark.createDataFrame([(str(tmp_path / n),) for n in "abc"], "out string")
+    files = tsv.files_in(spark, str(tmp_path)).filter("path not like '%/in/%' and path not like '%/run/%'")
+    assert {r[0][-1] for r in incremental.without_output(work, "out", files).collect()} == {"b", "c"}
+
+
+def test_staged_tables_are_released(spark):
+    from corpusloom import staging
+
+    kept, staging._staged = staging._staged, []
+    try:
+        df = staging.stage(spark.range(3), "x")
+        path = staging._staged[0]
+        assert df.count() == 3 and staging.release(spark) == 1
+        assert not tsv.exists(spark, path)
+    finally:
+        staging._staged = kept
+
+
+def test_counts_and_ranks(spark):
+    a = spark.createDataFrame([("1", True), ("1", False), ("2", True), ("3", None)], "id string, ok boolean")
+    b = spark.createDataFrame([("1", True), ("2", False), ("4", True), (None, True)], "id string, ok boolean")
+    got = statistics.filter_counts(a, b, "id", "ok").first().asDict()
+    assert got == {"src_raw": 4, "tgt_raw": 4, "src_matched": 3, "tgt_matched": 2, "kept": 1, "src_invalid": 2, "tgt_invalid": 1, "dropped": 2, "src_unmatched": 1, "tgt_unmatched": 2}
+    rows = spark.createDataFrame([("g", float(v)) for v in [1, 1, 2, 5, 9]] + [(None, 3.0)], "g string, v double")
+    ranks = {(r["g"], r["v"]): r["r"] for r in selection.ranks_with_ties(rows, "v", ["g"], "r").collect()}
+    assert ranks == {("g", 1.0): 1.5, ("g", 2.0): 3.0, ("g", 5.0): 4.0, ("g", 9.0): 5.0, (None, 3.0): 1.0}
+    q = {r["g"]: (r["m"], r["p"]) for r in selection.quantiles(rows, "v", ["g"], {"m": 0.5, "p": 0.9}).collect()}
+    assert q["g"][0] == 2.0 and abs(q["g"][1] - 7.4) < 1e-9 and q[None] == (3.0, 3.0)
+    for n, limit in ((0, 9), (2, 9), (2, 1), (5, 9)):
+        selection.TOP, before = limit, selection.TOP
+        kept = [r["v"] for r in selection.top_n(rows.filter("g is not null").withColumn("i", F.monotonically_increasing_id()), "v", n, "i").filter("selected").collect()]
+        selection.TOP = before
+        assert sorted(kept, reverse=True) == [9.0, 5.0, 2.0, 1.0, 1.0][:n]

@@ -65,8 +65,8 @@ def test_queries_scan_quoted_fields(spark, tmp_path):
     df = spark.createDataFrame(rows, "line_no bigint, sample_id string, src_audio string, tgt_audio string, src_text string, tgt_text string, src_lang string, tgt_lang string, show_id string")
     df.selectExpr("*", "timestamp'2024-01-02 03:04:05' AS ingested_at").write.parquet(f"{tmp_path}/{evaluation.MANIFEST}.parquet")
     for name, want in (
-        ("tsv_strings_all", [*texts[:3], "", "NA", ""]), ("tsv_inferred_all", [*texts[:3], None, None, None]),
-        ("tsv_filled_all", [*texts[:3], "", "", ""]), ("shard_union_all", [*texts[:3], "", "NA", ""]),
+        ("tsv_strings", [*texts[:3], "", "NA", ""]), ("tsv_inferred", [*texts[:3], None, None, None]),
+        ("tsv_filled", [*texts[:3], "", "", ""]), ("shard_union", [*texts[:3], "", "NA", ""]),
     ):
         got = {r["sample_id"]: (r["src_text"], r["tgt_text"]) for r in evaluation.QUERIES[name](spark, str(tmp_path)).collect()}
         assert got == {f"id{i}": (t, t) for i, t in enumerate(want)}, name
@@ -74,9 +74,50 @@ def test_queries_scan_quoted_fields(spark, tmp_path):
 
 def test_pairs_with_and_without_id(spark, tmp_path):
     new = put(tmp_path / "n.tsv", "id\tsource\ttarget\toutput\nx\ta\tb\tc\n")
-    old = put(tmp_path / "o.tsv", "src\ttgt\tout\na\tb\tc\nd\te\tf\n")
+    old = put(tmp_path / "o.tsv", " Source\tTARGET\toutput\tmore\na\tb\tc\tx\nd\te\tf\n")
     assert [tuple(r) for r in tsv.read_pairs(spark, new).collect()] == [("x", "a", "b", "c")]
     assert sorted(tuple(r) for r in tsv.read_pairs(spark, old).collect()) == [("0", "a", "b", "c"), ("1", "d", "e", "f")]
+    with pytest.raises(ValueError, match="expected the columns"):
+        tsv.read_pairs(spark, put(tmp_path / "w.tsv", "src\ttgt\tout\na\tb\tc\n"))
+
+
+def test_files_are_united_by_name(spark, tmp_path):
+    a = put(tmp_path / "a.tsv", "id\tsrc\ttgt\n1\ta\tb\n")
+    b = put(tmp_path / "b.tsv", "tgt\tid\tmore\nB\t2\tx\n")
+    c = put(tmp_path / "c.tsv", "")
+    got = [r.asDict() for r in tsv.read_tsv(spark, [a, b, c], "strings").orderBy("id").collect()]
+    assert got == [{"id": "1", "src": "a", "tgt": "b", "more": ""}, {"id": "2", "src": "", "tgt": "B", "more": "x"}]
+    assert [r["src"] for r in tsv.read_tsv(spark, [a, b], "inferred").orderBy("id").collect()] == ["a", None]
+    assert tsv.read_tsv(spark, str(tmp_path / "*.tsv"), "strings").count() == 2
+    with pytest.raises(ValueError, match="stands twice"):
+        tsv.read_tsv(spark, put(tmp_path / "d.tsv", "id\tid\n1\t2\n"), "strings")
+    comma = put(tmp_path / "e.csv", 'id,text\n1,"a, ""b"""\n')
+    assert [tuple(r) for r in tsv.read_tsv(spark, comma, "strings", sep=",").collect()] == [("1", 'a, "b"')]
+
+
+def test_shard_of_another_header_is_an_error(spark, tmp_path):
+    for k, body in enumerate(["id\tsrc\ttgt\n1\ta\tb\n", "uid\ttgt\tsrc\n2\tB\tA\n"]):
+        (tmp_path / f"shard{k}").mkdir()
+        put(tmp_path / f"shard{k}" / "m.tsv", body)
+    for header in (None, ["id", "src", "tgt"]):
+        with pytest.raises(ValueError, match="uid"):
+            tsv.read_shards(spark, str(tmp_path / "shard*/m.tsv"), header)
+
+
+def test_appended_and_copied(spark, tmp_path):
+    out = str(tmp_path / "log")
+    for k in range(3):
+        tsv.append_tsv(spark.createDataFrame([(str(k), 'a\t"b"')], "id string, t string"), out)
+    assert sorted(tuple(r) for r in tsv.read_tsv(spark, out, "strings").collect()) == [(str(k), 'a\t"b"') for k in range(3)]
+    with pytest.raises(ValueError):
+        tsv.append_tsv(spark.createDataFrame([("1", "x")], "id string, other string"), out)
+    lines = put(tmp_path / "p.txt", "at /a/b\n/a\n\nend")
+    assert tsv.copied(spark.read.text(lines), {"/a": "A", "/a/b": "B"}, str(tmp_path / "copy")) == 4
+    assert {r[0] for r in spark.read.text(str(tmp_path / "copy")).collect()} == {"at B", "A", "", "end"}
+    parts = [put(tmp_path / f"{k}.txt", body) for k, body in enumerate(["a\nb", "", "c\n"])]
+    joined = tsv.joined_texts(spark, [parts[0], str(tmp_path / "none.txt"), *parts[1:]])
+    assert [r["value"] for r in joined.orderBy("part", "line").collect()] == ["a", "b", "c"]
+    assert {r["length"] for r in tsv.files_in(spark, str(tmp_path / "1.txt")).collect()} == set()
 
 
 def test_small_text_sources(spark, tmp_path):
@@ -90,6 +131,7 @@ def test_small_text_sources(spark, tmp_path):
     assert tsv.read_summary(spark, str(tmp_path / "none.json")) == {}
     tsv.write_summary({"b": 1, "ä": [2]}, spark, str(tmp_path / "s"))
     assert tsv.read_summary(spark, str(tmp_path / "s")) == {"b": 1, "ä": [2]}
+    assert [r.asDict() for r in tsv.read_tsv(spark, str(tmp_path / "s.tsv"), "strings").collect()] == [{"b": "1", "ä": "[2]"}]
 
 
 def test_release(spark):

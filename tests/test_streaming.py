@@ -21,8 +21,22 @@ def test_stream_equals_batch(spark, tmp_path):
     out = str(tmp_path / "out")
     q = progress.stream_parquet(spark, src, 2).writeStream.foreachBatch(progress.upsert_latest(out, ["id"], ["seq"])).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
     q.awaitTermination()
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out").iterdir() if "=" in p.name)
-    assert {(r["id"], r["status"], r["seq"]) for r in spark.read.parquet(f"{out}/version={last}").collect()} == want
+    assert {(r["id"], r["status"], r["seq"]) for r in progress.current_state(spark, out).collect()} == want
+
+
+def test_batches_rewrite_what_they_touch(spark, tmp_path):
+    out = str(tmp_path / "state")
+    schema = "id string, seq int"
+    fold = progress.upsert_latest(out, ["id"], ["seq"], buckets=8)
+    first = spark.createDataFrame([(f"k{i}", 1) for i in range(20)], schema)
+    fold(first, 0)
+    for number in (1, 2, 3, 3):
+        fold(spark.createDataFrame([("k0", number + 1), ("k0", 0), ("new", number)], schema), number)
+    state = {r["id"]: r["seq"] for r in progress.current_state(spark, out).collect()}
+    assert state == {f"k{i}": 1 for i in range(1, 20)} | {"k0": 4, "new": 3}
+    assert len(list((tmp_path / "state" / "version=3").glob("bucket=*"))) <= 2
+    assert not list((tmp_path / "state" / "version=1").glob("bucket=*/*.parquet"))
+    assert progress.current_state(spark, str(tmp_path / "none")) is None
 
 
 def test_windows_with_watermark(spark, tmp_path):
