@@ -26,7 +26,7 @@ def folder(spark, tmp_path):
 
 
 def test_all_notations_give_one_row_each(spark, folder):
-    rows = construction.speaker_analysis_all(spark, folder).collect()
+    rows = construction.speaker_analysis(spark, folder).collect()
     got = {r["row_id"]: r for r in rows}
     assert len(rows) == len(got) and set(got) == {*TEXTS, *NOTHING, "broken"}
     figures = ("num_speakers", "num_segments", "speaker_switches", "total_labeled_duration", "dominant_speaker", "dominant_duration", "secondary_duration", "secondary_ratio")
@@ -37,7 +37,7 @@ def test_all_notations_give_one_row_each(spark, folder):
 
 
 def test_all_notations_in_durations_and_span(spark, folder):
-    got = {(r["row_id"], r["speaker"]): (r["seconds"], r["segments"]) for r in construction.speaker_durations_all(spark, folder).collect()}
+    got = {(r["row_id"], r["speaker"]): (r["seconds"], r["segments"]) for r in construction.speaker_durations(spark, folder).collect()}
     assert got == {(k, s): v for k in TEXTS for s, v in (("a", (2.5, 2)), ("b", (0.5, 1)))}
-    got = {r["row_id"]: (r["vad"], r["span"]) for r in construction.vad_span_all(spark, folder).collect()}
+    got = {r["row_id"]: (r["vad"], r["span"]) for r in construction.vad_span(spark, folder).collect()}
     assert got == {k: ("0.5:2.0 2.0:2.5 3.0:4.0", 3.5) for k in TEXTS} | {k: ("", None) for k in NOTHING} | {"broken": (None, None)}
