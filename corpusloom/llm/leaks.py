@@ -3,8 +3,8 @@
 Each item has two texts, question and answer. They are put into an inverted index with
 BM25 weights: postings in compressed rows, with the maxima of blocks of ``BLOCK`` texts.
 Every document is cut into overlapping passages of ``2 * run`` words, each the query of a
-block-max WAND search. One without ``run`` words whose largest weights reach the threshold
-is skipped. The terms of the others are taken by their largest weight; those whose weights together don't reach the threshold can't retrieve anything alone, so only
+block-max WAND search. One without ``run`` words that are all in the index, and whose
+largest weights reach the threshold, is skipped. The terms of the others are taken by their largest weight; those whose weights together don't reach the threshold can't retrieve anything alone, so only
 the blocks in the postings of the other terms are candidates. Of these, the ones whose
 summed block maxima reach the block's threshold are scored, and the texts that reach
 their own threshold are retrieved, however many.
@@ -235,9 +235,11 @@ def search(index: Index, flat: pa.Array, sizes: np.ndarray, run: int = RUN) -> I
     start = begins[of] + step * (run + 1)
     stop = np.minimum(start + 2 * run, ends[of])
     padded = np.concatenate([ids, np.full(2 * run, unknown, np.int32)])
+    strange = np.concatenate([[0], np.cumsum(ids == unknown)])
+    known = strange[run:] == strange[:-run]
     for tier in index.tiers:
         total = np.concatenate([[0.0], np.cumsum(tier.term_max[ids], dtype=np.float64)])
-        strong = total[run:] - total[:-run] >= tier.threshold[0] - 1e-6
+        strong = (total[run:] - total[:-run] >= tier.threshold[0] - 1e-6) & known
         upto = np.concatenate([[0], np.cumsum(strong)])
         alive = np.flatnonzero(upto[stop - run + 1] > upto[start])
         rows = max(1, min(2000, CELLS // max(1, len(tier.block_threshold))))
