@@ -102,7 +102,12 @@ def grid_join(left: DataFrame, right: DataFrame, key: str, max_rows: int = 20_00
     def parts(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > max_rows).select(key, F.ceil(F.col("_n") / max_rows).cast("int").alias(name))
 
-    both = parts(left, "_l").withColumn("_r", F.lit(1)) if unique else parts(left, "_l").join(parts(right, "_r"), key, "full")
+    # A side of no more than max_rows rows has no such key, and isn't counted.
+    crowded = [(df, name) for df, name in ((left, "_l"), (right, "_r")) if not (unique and df is right) and not fits(df, max_rows)]
+    if not crowded:
+        return left.join(right, key)
+    counted = [parts(df, name) for df, name in crowded]
+    both = counted[0].join(counted[1], key, "full") if len(counted) == 2 else counted[0].withColumn("_r" if crowded[0][1] == "_l" else "_l", F.lit(1))
     heavy = both.select(key, F.coalesce("_l", F.lit(1)).alias("_l"), F.coalesce("_r", F.lit(1)).alias("_r"))
     heavy = stage(heavy.orderBy(F.desc(F.greatest("_l", "_r")), key).limit(max_keys), "grid")
     if fits(heavy, 0):
