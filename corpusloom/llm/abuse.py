@@ -3,8 +3,9 @@
 Two zstandard dictionaries are trained, one on abusive and one on ordinary text. A window
 of words is abusive if it gets shorter with the abusive dictionary: its score is its
 compressed length with the ordinary dictionary less that with the abusive one, in bytes.
-A document's score is that of its highest window, and the threshold is calibrated on
-labelled documents that the dictionaries compared have not seen.
+A document's score is that of its highest window. The threshold is calibrated on labelled
+documents that the dictionaries compared have not seen, and on the number of unlabelled
+documents with each score, for flagged ones are more frequent among the labelled.
 
 Labels say only that a document holds such a passage, and some are wrong. The passages
 for the abusive dictionary are cut from windows of flagged documents with several word
@@ -31,13 +32,15 @@ import re
 import sys
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.staging import stage
+
 MAX_LABELLED = 6_000
 MAX_LABELLED_CHARS = 20_000
 #: Parts of the labelled documents, of which one at a time is held out until so many flagged ones were scored.
@@ -136,6 +139,7 @@ class Model:
     abusive: bytes
     ordinary: bytes
     threshold: float = 0.0
+    held: list[tuple[int, int]] = field(default_factory=list)  # scores and labels of held-out documents
 
     def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
         made = []
@@ -207,6 +211,28 @@ def _threshold(scores: list[tuple[int, int]]) -> float:
     return float(near[len(near) // 2]) if near else 1.0
 
 
+def calibrated(held: list[tuple[int, int]], unlabelled: dict[int, int]) -> float:
+    """The threshold of the best F1 among the unlabelled documents, whose scores are counted.
+
+    Flagged documents are far more frequent among the labelled ones, so their F1 would ask
+    for too low a threshold. High scores are taken to be right: at the score that half of
+    the flagged held-out documents reach, the number of unlabelled documents says how many
+    stand behind each of them; at lower scores, what exceeds that is taken to be wrong. Of
+    thresholds that are about as good the lowest is taken, which finds the most.
+    """
+    flagged = [s for s, label in held if label]
+    reached = lambda t: sum(s >= t for s in flagged)
+    above = lambda t: sum(n for s, n in unlabelled.items() if s >= t)
+    every = reached(1)
+    sure = max((t for t in set(flagged) if t >= 1 and reached(t) * 2 >= every), default=0)
+    if not sure or not above(sure):
+        return _threshold(held)
+    each = above(sure) / reached(sure)
+    by = [(2 * min(each * reached(t), above(t)) / (each * every + above(t)), t) for t in range(1, max(flagged) + 1)]
+    best = max(by)[0]
+    return float(min(t for f1, t in by if f1 >= 0.99 * best))
+
+
 def fit(examples: list[tuple[str, int]]) -> Model | None:
     """A model of (text, label) examples in a fixed order, or None if they are too few."""
     words = [[sys.intern(w) for w in plain_words(t)] for t, _ in examples]
@@ -222,14 +248,19 @@ def fit(examples: list[tuple[str, int]]) -> Model | None:
             break
     if final is None or not scores:
         return None
-    final.threshold = _threshold(scores)
+    final.threshold, final.held = _threshold(scores), scores
     return final
 
 
+def agreed_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, low, high) of the documents whose labels agree."""
+    known = labels.filter("doc_id is not null and flagged is not null")
+    return known.groupBy("doc_id").agg(F.min("flagged").alias("low"), F.max("flagged").alias("high")).filter("low = high")
+
+
 def labelled_examples(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[tuple[str, int]]:
     """The bounded sample that the model is fitted on, in the order of a hash of the id."""
-    agreed = labels.filter("doc_id is not null and flagged is not null").groupBy("doc_id").agg(F.min("flagged").alias("low"), F.max("flagged").alias("high")).filter("low = high")
-    chosen = agreed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    chosen = agreed_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = (
         documents.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")
@@ -257,7 +288,11 @@ def abuse_scores(documents: DataFrame, labels: DataFrame, keep: tuple[str, ...]
         compressors = model.compressors()
         for batch in batches:
             scores = [score(t.as_py(), *compressors) for t in batch.column(len(kept))]
-            relative = [None if s is None else int(s - model.threshold) for s in scores]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), pa.array(relative, pa.int32())], [*kept, "score"])
-
-    return documents.select(*kept, "text").mapInArrow(rate, schema).withColumn("abusive", F.coalesce(F.col("score") >= 0, F.lit(False)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), pa.array(scores, pa.int32())], [*kept, "score"])
+
+    rated = stage(documents.select(*kept, "text").mapInArrow(rate, schema), "rated")
+    labelled = agreed_labels(labels).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    counts = rated.filter("score is not null").join(F.broadcast(labelled), "doc_id", "left_anti").groupBy("score").count().collect()
+    threshold = int(calibrated(model.held, {r["score"]: r["count"] for r in counts}))
+    relative = F.col("score") - F.lit(threshold)
+    return rated.withColumn("score", relative).withColumn("abusive", F.coalesce(F.col("score") >= 0, F.lit(False)))

@@ -65,6 +65,13 @@ def test_dictionary_takes_all_windows(monkeypatch):
     assert given == [150_000]
 
 
+def test_threshold_for_the_unlabelled():
+    held = [(20, 1)] * 30 + [(12, 1)] * 30 + [(6, 1)] * 30 + [(-3, 1)] * 10 + [(2, 0)] * 20 + [(-4, 0)] * 80
+    rare = {20: 30, 12: 30, 6: 30, 4: 300, 2: 2000, -4: 7000}
+    assert abuse._threshold(held) <= 6 and abuse.calibrated(held, rare) in (5.0, 6.0)
+    assert abuse.calibrated(held, {}) == abuse._threshold(held) and abuse.calibrated([(1, 0)], rare) == abuse._threshold([(1, 0)])
+
+
 def test_without_examples(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, flagged int")
