@@ -140,24 +140,26 @@ class Loader:
             for column, value in zip(columns, fields or [None] * len(columns)):
                 column[k] = value
 
+        def clean(at: int, size: int, failed: bool = False) -> bool:
+            """Parse a block; halve it if it fails, or is known to. Whether all of it was parsed at once."""
+            parsed = None if failed else _bulk(lines.slice(at, size))
+            if parsed is not None:
+                for column, values in zip(columns, parsed):
+                    column[at : at + size] = values.to_pylist()
+            elif size == 1:
+                strictly(at)
+            else:
+                # If the first half is clean, the fault is in the second.
+                first = clean(at, size // 2)
+                clean(at + size // 2, size - size // 2, failed=first)
+            return parsed is not None
+
         begin = 0
         while begin < n:
             size = min(self.block, n - begin)
-            open_, failed = [(begin, size)], False
-            while open_:
-                at, some = open_.pop()
-                parsed = _bulk(lines.slice(at, some))
-                if parsed is None:
-                    failed = True
-                    if some > 1:
-                        open_ += [(at, some // 2), (at + some // 2, some - some // 2)]
-                    else:
-                        strictly(at)
-                    continue
-                for column, values in zip(columns, parsed):
-                    column[at : at + some] = values.to_pylist()
+            whole = clean(begin, size)
             begin += size
-            self.block = max(1, self.block // 2) if failed else min(self.largest, self.block * 2)
+            self.block = min(self.largest, self.block * 2) if whole else max(1, self.block // 2)
         unusable = pc.fill_null(pc.invert(_usable([pa.array(c, pa.string()) for c in columns])), False)
         for k in pc.indices_nonzero(unusable).to_pylist():
             strictly(k)
