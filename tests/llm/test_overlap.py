@@ -60,3 +60,27 @@ def test_one_group_of_copies(spark):
 def test_empty(spark):
     got, o = found(spark, [])
     assert got == set()
+
+
+def test_records_with_class_and_links(spark):
+    rng = random.Random(8)
+    base = [[f"w{rng.randint(0, 40)}" for _ in range(12)] for _ in range(12)]
+    rows = []
+    for n in range(160):
+        t = list(rng.choice(base))
+        if rng.random() < 0.5:
+            t[rng.randrange(12)] = f"w{rng.randint(0, 40)}"
+        rows.append((f"id{n:03}", " ".join(t[:5]), " ".join(t[5:]), rng.choice(["train", "dev", "test", "Train "]), 1))
+    rows += [("none", None, "x", "train", 1), ("train", "same", "text", "train", 1), ("train", "same", "text", "train", 1)]
+    bags = {}
+    for i, a, b, s, _ in rows:
+        if a:
+            bags[i, s.strip().lower()] = tuple(sorted([*words(a), *words(b)]))
+    near = lambda x, y: (Counter(x) & Counter(y)).total() * 100 >= max(len(x), len(y)) * 85
+    sides = [{b for (_, s), b in bags.items() if (s == "train") == train} for train in (False, True)]
+    want = set()
+    for (i, s), bag in bags.items():
+        other = sides[s != "train"]
+        want.add((i, s, min(j for (j, _), b in bags.items() if b == bag), sum(near(bag, b) for b in other)))
+    got = {tuple(r) for r in split_overlap(spark.createDataFrame(rows, SCHEMA)).records().collect()}
+    assert got == want
