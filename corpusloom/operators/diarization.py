@@ -16,12 +16,6 @@ from corpusloom.operators.intervals import listed_segments
 _LIST = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64()), ("speaker", pa.string())]))
 
 
-def segment_rows(logs: DataFrame, keys: list[str], json_col: str = "segments_json") -> DataFrame:
-    """(keys..., start, end, speaker) of lists of ``{"start", "end", "speaker"}`` objects, end after start."""
-    schema = "array<struct<start:double,end:double,speaker:string>>"
-    return logs.select(*keys, F.inline(F.from_json(json_col, schema))).filter(F.col("end") > F.col("start"))
-
-
 def segment_lists(logs: DataFrame, keys: list[str], json_col: str = "segments_json") -> DataFrame:
     """(keys..., segments): each list, in any notation and unmerged; null where it isn't valid JSON."""
     schema = ", ".join([*(f"`{c}` {logs.schema[c].dataType.simpleString()}" for c in keys), "segments array<struct<start:double,end:double,speaker:string>>"])

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
-from corpusloom.functions.expr import no_nan, to_number
+from corpusloom.functions.expr import abs_log_ratio, no_nan, to_number
 from corpusloom.operators.selection import quantiles, ranks_with_ties
 from corpusloom.staging import lookup_join, stage
 
@@ -197,7 +197,7 @@ def summed(shards: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
 def errors(x: Column, y: Column) -> list[Column]:
     """Error measures of y against x."""
     d = y - x
-    ratio = F.when((x > 0) & (y > 0), F.abs(F.ln(y / x)))
+    ratio = abs_log_ratio(x, y)
     return [
         F.count(d).alias("n"),
         F.avg(F.abs(d)).alias("mae"),

@@ -286,6 +286,25 @@ def recogniser_languages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, EVAL).groupBy(X.recogniser_language(F.col("source_lang")).alias("language")).agg(F.count("*").alias("n"))
 
 
+_ENCODED = "('en', 'eng', 'de', 'deu', 'es', 'spa')"
+
+
+@C.add(f"""SELECT 'sonar_speech_encoder_' || CASE lower(trim(src_lang)) WHEN 'en' THEN 'eng' WHEN 'de' THEN 'deu' WHEN 'es' THEN 'spa' ELSE lower(trim(src_lang)) END AS encoder, count(*) AS n
+ FROM stage_00_aligned_pair_manifest WHERE lower(trim(src_lang)) IN {_ENCODED} GROUP BY 1""")
+def speech_encoders(spark: SparkSession, sf: str) -> DataFrame:
+    """Encoders of the rows that have one; any other language would be an error."""
+    known = table(spark, sf, MANIFEST).filter(F.lower(X.strip(F.col("src_lang"))).isin(*X.SPEECH_ENCODERS))
+    return known.groupBy(X.speech_encoder(F.col("src_lang")).alias("encoder")).agg(F.count("*").alias("n"))
+
+
+@C.add(r"""SELECT CAST(list_last(m) AS DOUBLE) AS value, count(*) AS n FROM (SELECT regexp_extract_all(regexp_replace(src_text, '[\r\n]', ' ', 'g'), '[-+]?\d+(?:\.\d+)?') AS m FROM stage_00_aligned_pair_manifest WHERE src_text IS NOT NULL) WHERE len(m) > 0 GROUP BY 1""")
+def numbers_in_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The last number of each line of a text output."""
+    path = new_folder(spark, "lines")
+    table(spark, sf, MANIFEST).select(F.regexp_replace("src_text", "[\r\n]", " ").alias("value")).dropna().write.text(path)
+    return tsv.read_numbers(spark, path).groupBy("value").agg(F.count("*").alias("n"))
+
+
 @C.add("SELECT event_id, json_extract_string(props, '$.k') AS flat, json_extract_string(props, '$.k') AS nested FROM events")
 def shallow_json(spark: SparkSession, sf: str) -> DataFrame:
     """A key of the top level, and the same key one level down."""

@@ -144,6 +144,18 @@ def unit_correlations(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(statistics.correlation_table(rows, {unit: (f"src_text_{unit}", f"tgt_text_{unit}") for unit in sizes}))
 
 
+@C.add(r"""WITH r AS (SELECT src_lang, len(regexp_extract_all(src_text, '[\pL\pN]+'))::DOUBLE AS x, len(regexp_extract_all(tgt_text, '[\pL\pN]+'))::DOUBLE AS y FROM stage_00_aligned_pair_manifest)
+ SELECT src_lang, count(y - x) AS n, round(avg(abs(y - x)), 6) AS mae, round(sqrt(avg((y - x) * (y - x))), 6) AS rmse, round(avg(y - x), 6) AS mean_signed_diff, round(avg(CASE WHEN x > 0 AND y > 0 THEN abs(ln(y / x)) END), 6) AS mean_abs_log_ratio FROM r GROUP BY 1""")
+def best_rate_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors of the rate column that goes first by its name and unit, of several."""
+    words = lambda c: F.when(F.col(c).isNotNull(), F.size(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).cast("double"))
+    sides = table(spark, sf, MANIFEST).select(
+        "src_lang", *[x.alias(f"{s}.{c}") for s in ("src", "tgt") for c, x in (("rate_word", F.lit(0.0)), ("speech_rate_char", F.length(f"{s}_text").cast("double")), ("speech_rate_word", words(f"{s}_text")))]
+    )
+    best = relational.best_rate_column([c[4:] for c in sides.columns if c.startswith("src.")])
+    return _rounded(sides.groupBy("src_lang").agg(*statistics.errors(F.col(f"`src.{best}`"), F.col(f"`tgt.{best}`"))))
+
+
 _MATCHED = """WITH v AS (SELECT row_id AS k, side, coalesce(status = 'done' AND num_speakers = 1, false) AS ok FROM sortformer_audio_progress),
  s AS (SELECT * FROM v WHERE side = 'source'), t AS (SELECT * FROM v WHERE side = 'target'),
  x AS (SELECT (SELECT count(*) FROM s) AS src_raw, (SELECT count(*) FROM t) AS tgt_raw, (SELECT count(*) FROM s WHERE k IN (SELECT k FROM t)) AS src_matched, (SELECT count(*) FROM t WHERE k IN (SELECT k FROM s)) AS tgt_matched,
@@ -241,12 +253,12 @@ def frames_first(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("l_orderkey", X.code_text(F.flatten(X.frames_first(levels, 2))).alias("frames"), X.code_text(F.flatten(X.frames_first(frames, 2))).alias("same"))
 
 
-@C.add(f"SELECT l_orderkey, {_JOINED.format('list_reverse(range(len(c)))')} AS inverse, {_JOINED.format('[8, 50, 60] || c[1:3] || [61, 9]')} AS sequence FROM {_CODES}")
+@C.add(f"SELECT l_orderkey, {_JOINED.format('list_reverse(range(len(c)))')} AS inverse, {_JOINED.format('c')} AS stripped, {_JOINED.format('[8, 50, 60] || c[1:3] || [61, 9]')} AS sequence FROM {_CODES}")
 def orders_and_budgets(spark: SparkSession, sf: str) -> DataFrame:
-    """The inverse of a permutation, and a sequence cut to a budget of eight tokens."""
+    """The inverse of a permutation, codes wrapped and stripped again, and a sequence cut to a budget of eight tokens."""
     back = F.reverse(F.sequence(F.lit(0), F.size("c") - 1))
     budget = X.within_budget(F.col("c"), 8, 8, 9, (50,), (60, 61), True)
-    return _codes(spark, sf).select("l_orderkey", X.code_text(X.inverse_order(back)).alias("inverse"), X.code_text(budget).alias("sequence"))
+    return _codes(spark, sf).select("l_orderkey", X.code_text(X.inverse_order(back)).alias("inverse"), X.code_text(X.unwrapped(X.wrapped(F.col("c"), 1, 2))).alias("stripped"), X.code_text(budget).alias("sequence"))
 
 
 @C.add(f"""WITH b AS (SELECT l_orderkey, c, (row_number() OVER (ORDER BY l_orderkey) - 1) // 32 AS batch FROM {_CODES}), m AS (SELECT batch, max(len(c)) AS longest FROM b GROUP BY 1)

@@ -150,6 +150,22 @@ def read_summary(spark: SparkSession, path: str) -> dict:
     return json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
 
 
+def read_config(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> dict:
+    """Settings of a JSON or YAML file (YAML only where the library for it is installed); missing ones are an error."""
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    if path.endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ModuleNotFoundError as e:
+            raise ValueError("reading YAML needs the yaml library") from e
+        found = yaml.safe_load(text) or {}
+    else:
+        found = json.loads(text)
+    if missing := [k for k in required if found.get(k) in (None, "")]:
+        raise ValueError(f"settings missing in {path}: {missing}")
+    return found
+
+
 # Sinks ----------------------------------------------------------------------------------
 
 

@@ -139,3 +139,13 @@ def test_release(spark):
     assert df.columns == list(tsv.INVENTORY_FIELDS)
     assert df.collect()[0]["bytes"] == "7" and df.collect()[1]["note"] == ""
     assert tsv.rewrite_tree({"/a/b": ["/a/b/c", 1, None]}, {"/a": "A", "/a/b": "B"}) == {"B": ["B/c", 1, None]}
+
+
+def test_config(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"a": {"b": 1}, "c": ""}')
+    assert tsv.read_config(spark, str(tmp_path / "c.json"), ("a",)) == {"a": {"b": 1}, "c": ""}
+    with pytest.raises(ValueError, match="'c', 'd'"):
+        tsv.read_config(spark, str(tmp_path / "c.json"), ("a", "c", "d"))
+    pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text("a:\n  b: 1\nc: [x, y]\n")
+    assert tsv.read_config(spark, str(tmp_path / "c.yaml")) == {"a": {"b": 1}, "c": ["x", "y"]}

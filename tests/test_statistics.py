@@ -59,7 +59,7 @@ def test_segment_means(spark):
 
 def test_dominant_speaker_ties_go_to_the_earliest(spark):
     text = '[{"start": 2, "end": 3, "speaker": "a"}, {"start": 0, "end": 1, "speaker": "b"}, {"start": 5, "end": 5, "speaker": "c"}]'
-    segments = diarization.segment_rows(spark.createDataFrame([("k", text)], "k string, segments_json string"), ["k"])
+    segments = diarization.segment_lists(spark.createDataFrame([("k", text)], "k string, segments_json string"), ["k"]).select("k", F.inline("segments"))
     r = diarization.analysis(segments, ["k"]).first()
     assert (r["num_speakers"], r["num_segments"], r["speaker_switches"], r["dominant_speaker"], r["secondary_ratio"]) == (2, 2, 1, "b", 0.5)
 
