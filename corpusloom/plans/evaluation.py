@@ -381,4 +381,16 @@ def streaming_latest(spark: SparkSession, sf: str) -> DataFrame:
     return progress.current_state(spark, out).select("user_id", "event_type", "event_id", "value")
 
 
+@C.add("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def streaming_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts per hour and type from a stream of files, whole after the last batch."""
+    root = new_folder(spark, "windows")
+    table(spark, sf, "events").repartition(4, "event_id").write.parquet(f"{root}/in")
+    counts = progress.status_windows(progress.stream_parquet(spark, f"{root}/in", 2), "ts", "event_type")
+    save = lambda df, _: df.write.mode("overwrite").parquet(f"{root}/out")
+    query = counts.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
 QUERIES, SQL = C.queries, C.sql
