@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -52,4 +53,6 @@ def ship(spark: SparkSession) -> None:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, p.relative_to(root.parent))
         spark.sparkContext.addPyFile(f.name)
+        # The driver serves the file to executors as long as it runs.
+        atexit.register(lambda: Path(f.name).unlink(missing_ok=True))
     _shipped.add(app)
